@@ -32,7 +32,7 @@ SAMPLE_ROWS, STEMS = 20_000, 5_000
 #: A stem is learned if so many different words precede it in toxic texts and toxic texts hold it so many times as often as others.
 LEAST_CONTEXTS, LEAST_RATIO = 10, 50.0
 #: Letters of a stem; a whole word ends with END.
-STEM_LETTERS, END = (4, 5, 6), "$"
+STEM_LETTERS, END = (4, 5, 6, 7, 8), "$"
 
 #: Hand-written words (fixed values).
 INSULTS = "idiot moron loser scum trash worthless pathetic disgusting stupid clown dumb fool jerk vermin filth imbecile dummkopf trottel abschaum versager wertlos widerlich dumm connard ordure minable débile abruti imbécil basura escoria inútil estúpido patético".split()
@@ -42,7 +42,7 @@ NEGATIONS = "not no never isn't aren't wasn't don't doesn't nicht kein keine nie
 REPORTS = "said says say saying called calls wrote writes quoted quote reported claimed according sagte sagt schrieb nannte laut dit disait écrit selon dijo dice escribió según llamó".split()
 #: Weights before any label is seen, and how far a label's evidence may move them.
 PRIOR = {"plain": 4.0, "targeted": 5.0, "negated": 0.5, "reported": 0.5, "threat": 5.0}
-PRIOR_BIAS, PRIOR_SPREAD = -4.0, 2.0
+PRIOR_BIAS, PRIOR_SPREAD = -4.0, 3.0
 KINDS = tuple(PRIOR)
 #: Words within which a negation or a target reaches a head.
 REACH = 3
