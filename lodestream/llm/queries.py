@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestream.llm import bpe, langid, licenses, simhash, toxicity, urlfilter
+from lodestream.llm import bpe, decontaminate, embeddings, langid, licenses, simhash, toxicity, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, contaminated, coverage, item_id, n_tiles of every document against the whole benchmark."""
+    return decontaminate.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, host, path, rule, verdict, score of every page."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
@@ -32,6 +37,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.documents_digests(spark, _table(spark, sf_dir, "documents"))
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every vector at cosine 0.9."""
+    return embeddings.near(_table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every document."""
     return licenses.scan(_table(spark, sf_dir, "documents"))
@@ -46,8 +56,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language": op1_language,
     "op2_toxicity": op2_toxicity,
+    "op3_decontaminate": op3_decontaminate,
     "op4_url_filter": op4_url_filter,
     "op5_byte_bpe": op5_byte_bpe,
+    "op7_embeddings": op7_embeddings,
     "op9_licenses": op9_licenses,
     "op10_simhash": op10_simhash,
 }
