@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestream.llm import bpe, decontaminate, embeddings, langid, licenses, simhash, toxicity, urlfilter
+from lodestream.llm import bpe, decontaminate, embeddings, langid, licenses, ngramlm, simhash, toxicity, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,11 @@ def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near(_table(spark, sf_dir, "embeddings"), least=0.9)
 
 
+def op8_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, log_score, score, n_backoffs of every document against the counts of all others."""
+    return ngramlm.score(_table(spark, sf_dir, "documents"))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every document."""
     return licenses.scan(_table(spark, sf_dir, "documents"))
@@ -60,6 +65,7 @@ QUERIES = {
     "op4_url_filter": op4_url_filter,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_embeddings": op7_embeddings,
+    "op8_backoff": op8_backoff,
     "op9_licenses": op9_licenses,
     "op10_simhash": op10_simhash,
 }
