@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestream.llm import bpe, decontaminate, embeddings, langid, licenses, ngramlm, simhash, toxicity, urlfilter
+from lodestream.llm import bpe, decontaminate, embeddings, langid, licenses, ngramlm, simhash, suffixdedup, toxicity, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.documents_digests(spark, _table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document, for strings of 400 bytes."""
+    return suffixdedup.digests(_table(spark, sf_dir, "documents"))
+
+
 def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector at cosine 0.9."""
     return embeddings.near(_table(spark, sf_dir, "embeddings"), least=0.9)
@@ -64,6 +69,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_url_filter": op4_url_filter,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_embeddings": op7_embeddings,
     "op8_backoff": op8_backoff,
     "op9_licenses": op9_licenses,
