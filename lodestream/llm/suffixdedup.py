@@ -207,7 +207,7 @@ def remove(docs: DataFrame, made: Callable[[int, int, int, bytes], tuple], added
     spark = docs.sparkSession
     small_batches(spark)
     own = {f.name for f in added.fields} | {text}
-    kept = [f for f in docs.schema.fields if f.name not in own]
+    kept = [T.StructField(f.name, f.dataType, True) for f in docs.schema.fields if f.name not in own]
     rows = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_sd_text"))
     size = int(rows.agg(F.coalesce(F.sum(F.octet_length("_sd_text")), F.lit(0))).first()[0])
     blocks = max(1, -(-size // BLOCK_BYTES))

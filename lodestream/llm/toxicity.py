@@ -252,6 +252,23 @@ def score(docs: DataFrame, learned: tuple[list[str], np.ndarray], text: str = "t
     return _with_matcher(rows, stems, made, "doc_id long, score double, predicted int, n_matches long", ["doc_id"])
 
 
+def clean(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
+    """docs, all columns, without the rows whose score is 0.5 or more; learned from the labelled rows outside the fold."""
+    small_batches(docs.sparkSession)
+    stems, w = learn(docs, labels)
+    bias, weights = float(w[0]), [float(x) for x in w[1:]]
+    shared = docs.sparkSession.sparkContext.broadcast(stems)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(shared.value)
+        for piece in slices(batches, text):
+            texts = piece.column(piece.schema.get_field_index(text)).to_pylist()
+            margin = [bias + sum(a * b for a, b in zip(weights, features(matcher.matches(t)), strict=True)) if t else bias for t in texts]
+            yield piece.filter(pa.array([m < 0 for m in margin]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Learns from the labelled rows outside the fold and scores every row."""
     held = fold(F.col("doc_id"), 5) == 0
