@@ -30,7 +30,7 @@ from lodestream.llm.shared import slices, small_batches, stored
 #: Labelled rows that the classifier is fitted on, and stems it may learn.
 SAMPLE_ROWS, STEMS = 20_000, 5_000
 #: A stem is learned if so many different words precede it in toxic texts and toxic texts hold it so many times as often as others.
-LEAST_CONTEXTS, LEAST_RATIO = 10, 50.0
+LEAST_CONTEXTS, LEAST_RATIO = 10, 20.0
 #: Letters of a stem; a whole word ends with END.
 STEM_LETTERS, END = (4, 5, 6, 7, 8), "$"
 
