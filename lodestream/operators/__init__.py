@@ -1 +1 @@
-"""See the modules of this package."""
+"""DataFrame operators: retrieval, query language, jobs, sessions, run trees, logs and documents."""
