@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from lodestream.llm.components import components
 from lodestream.llm.shared import slices, small_batches, stored, utf8
@@ -244,7 +244,7 @@ SIGNATURES, SIGNATURE_SEGMENTS, CONFIRM_BITS, CONFIRM_WORDS = 6, 4, 42, 5
 
 
 def copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Rows (doc_id, component_id) of copies and near copies: a similarity of about 0.8 or more over shingles of five words.
+    """Rows (doc_id, hash, component_id), hash of the text, of copies and near copies: a similarity of about 0.8 or more over shingles of five words.
 
     A single 64-bit fingerprint of the shingles of such pairs differs in ten bits on average, too many for keys of equal bits. So candidates come from several
     signatures of the word sets, in one of which such pairs are mostly within three bits, and the wide fingerprint of the shingles confirms them.
@@ -258,22 +258,20 @@ def copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
             texts = [whole[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
             fps = np.array([signatures(t, SIGNATURES) for t in texts], np.uint64).view(np.int64)
             wide = [wide_fingerprint(shingle_hashes(t, CONFIRM_WORDS)) for t in texts]
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(list(fps), pa.list_(pa.int64())), pa.array(wide, pa.binary())], names=["doc_id", "fps", "wide"])
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), pa.array(list(fps), pa.list_(pa.int64())), pa.array(wide, pa.binary())], names=["doc_id", "hash", "fps", "wide"])
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    prints = stored(rows.mapInArrow(run, "doc_id long, fps array<long>, wide binary"))
-    return _components(prints, ["fps", "wide"], 3, SIGNATURE_SEGMENTS, CONFIRM_BITS).select("doc_id", "component_id")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
+    prints = stored(rows.mapInArrow(run, "doc_id long, hash long, fps array<long>, wide binary"))
+    return _components(prints, ["fps", "wide"], 3, SIGNATURE_SEGMENTS, CONFIRM_BITS).select("doc_id", "hash", "component_id")
 
 
 def without_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row of each group of copies() stays, that of the smallest id, with all its columns. Rows without an id stay; of rows that repeat an id one does, the one whose text sorts first by its hash."""
-    found = copies(docs, text, key).filter("doc_id IS NOT NULL")
-    kept = stored(found.filter("doc_id = component_id").groupBy("doc_id").count())
-    repeated = kept.filter("count > 1").select(F.col("doc_id").alias("_sh_id"))
-    ids = kept.filter("count = 1").select(F.col("doc_id").alias("_sh_id"))
-    own = docs.withColumn("_sh_id", F.col(key).cast("long"))
-    once = own.join(ids, "_sh_id", "left_semi")
-    again = own.join(repeated, "_sh_id", "left_semi").withColumn("_sh_hash", F.xxhash64(text))
-    least = again.groupBy("_sh_id").agg(F.min("_sh_hash").alias("_sh_hash"))
-    again = again.join(least, ["_sh_id", "_sh_hash"], "left_semi").dropDuplicates(["_sh_id"]).select(*once.columns)
-    return once.unionByName(again).unionByName(own.filter("_sh_id IS NULL")).select(*[f"`{c}`" for c in docs.columns])
+    found = copies(docs, text, key).filter("doc_id = component_id")
+    kept = stored(found.groupBy(F.col("doc_id").alias("_sh_id")).agg(F.min("hash").alias("_sh_hash")))
+    own = docs.withColumns({"_sh_id": F.col(key).cast("long"), "_sh_hash": F.xxhash64(text)})
+    # the texts are dealt once, by id: the join's order serves the numbering of rows that are equal throughout
+    same = Window.partitionBy("_sh_id", "_sh_hash").orderBy("_sh_id", "_sh_hash")
+    once = own.join(kept.hint("merge"), ["_sh_id", "_sh_hash"]).withColumn("_sh_n", F.row_number().over(same)).filter("_sh_n = 1")
+    columns = [f"`{c}`" for c in docs.columns]
+    return once.select(*columns).unionByName(own.filter("_sh_id IS NULL").select(*columns))
