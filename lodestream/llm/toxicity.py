@@ -31,6 +31,8 @@ from lodestream.llm.shared import slices, small_batches, stored
 SAMPLE_ROWS, STEMS = 20_000, 5_000
 #: A stem is learned if so many different words precede it in toxic texts and toxic texts hold it so many times as often as others.
 LEAST_CONTEXTS, LEAST_RATIO = 10, 20.0
+#: Stems whose counts a task holds before it passes them on.
+HELD_STEMS = 200_000
 #: Letters of a stem; a whole word ends with END.
 STEM_LETTERS, END = (4, 5, 6, 7, 8), "$"
 
@@ -176,6 +178,9 @@ def learn_stems(rows: DataFrame) -> list[str]:
                     out_stem.append(stem)
                     out_before.append(zlib.crc32(word.encode()))
             yield _rows(out_stem, out_before, [0] * len(out_stem))
+            if len(clean) > HELD_STEMS:
+                yield _rows(list(clean), [-1] * len(clean), list(clean.values()))
+                clean.clear()
         yield _rows(list(clean), [-1] * len(clean), list(clean.values()))
 
     def _rows(stem: list, before: list, others: list) -> pa.RecordBatch:
