@@ -8,7 +8,7 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 
 #: Modules that register queries, in the order of the build plan.
-MODULES = ("lodestream.plans.usage",)
+MODULES = tuple(f"lodestream.plans.{m}" for m in ("usage", "scalar", "retrieval", "dsl", "state", "documents", "sources", "streams", "surface"))
 
 for _name in MODULES:
     _module = importlib.import_module(_name)

@@ -93,7 +93,7 @@ def markdown(spark, sf_dir):
     return docs.map_texts(table(spark, sf_dir, "pages"), "page_id", "html", title=docs.html_title, markdown=docs.html_to_markdown).select("page_id", "title", F.sha2("markdown", 256).alias("hash"))
 
 
-@R.add("STR20_title", r"SELECT page_id, trim(regexp_extract(html, '<title[^>]*>([\s\S]*?)</title>', 1)) AS title FROM pages")
+@R.add("STR20_title", r"""SELECT page_id, trim(replace(replace(replace(replace(replace(regexp_extract(html, '<title[^>]*>([\s\S]*?)</title>', 1), '&amp;', '&'), '&quot;', '"'), '&#39;', chr(39)), '&lt;', '<'), '&gt;', '>')) AS title FROM pages""")
 def titles(spark, sf_dir):
     return docs.map_texts(table(spark, sf_dir, "pages"), "page_id", "html", title=docs.html_title)
 
