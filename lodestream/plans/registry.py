@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
+from lodestream.session import ship
+
 
 class Registry:
     """Collects queries by operator id; ``sql`` is the DuckDB text that must give the same rows."""
@@ -16,7 +19,13 @@ class Registry:
         def put(query: Callable) -> Callable:
             if name in self.queries:
                 raise ValueError(f"query {name} is registered twice")
-            self.queries[name] = query
+
+            @functools.wraps(query)
+            def run(spark, sf_dir):
+                ship(spark)
+                return query(spark, sf_dir)
+
+            self.queries[name] = run
             if sql is not None:
                 self.oracles[name] = sql
             return query

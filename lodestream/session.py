@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -20,6 +24,20 @@ def get_spark(cpus: int | str = "*", partitions: int = 8, app: str = "lodestream
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package, once for each context, so that Python workers can import it wherever they run."""
+    context = spark.sparkContext
+    if getattr(context, "_lodestream_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="lodestream-")) / "lodestream.zip"  # on the driver, which serves it
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent).as_posix())
+    context.addPyFile(str(archive))
+    context._lodestream_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver's tables; always through Spark's own reader, so any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
