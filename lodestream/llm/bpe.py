@@ -12,14 +12,13 @@ the pieces of the pattern. Ids outside the vocabulary raise when decoded. Extra
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, types as T
 
-from lodestream.llm.shared import small_batches
+from lodestream.llm.shared import held, small_batches
 
 #: Texts that the library encodes in one call.
 CALL_TEXTS = 64
@@ -78,12 +77,11 @@ class Codec:
         return b"".join([self.bytes_of[i] for i in ids])
 
 
-@functools.lru_cache(maxsize=2)
 def _codec(ranks: bytes, pattern: str) -> Codec:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    return Codec(ranks, pattern)
+    return held("bpe", (hash(ranks), pattern), lambda: Codec(ranks, pattern))
 
 
 def _mapped(df: DataFrame, ranks: bytes, pattern: str, columns: dict[str, pa.DataType], made, added: T.StructType) -> DataFrame:

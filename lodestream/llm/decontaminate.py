@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from lodestream.llm.shared import small_batches
+from lodestream.llm.shared import begin, small_batches
 
 LEAST, COVERAGE = 5, 0.8
 #: Bytes of benchmark text that one pass holds.
@@ -150,6 +150,7 @@ def _pass(df: DataFrame, shared, least: int, text: str) -> DataFrame:
     added = ADDED.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("tiles")
         index = Index(shared.value, least)
         for batch in batches:
             column = {n: batch.column(i) for i, n in enumerate(names)}

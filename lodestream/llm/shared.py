@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestream.session import ship
+
 #: Rows of an Arrow batch that goes to a Python worker; long texts make a batch large, so it is kept low.
 ARROW_ROWS = 500
 #: Bytes of text that a worker treats at once; numpy needs a few dozen bytes for each of them.
@@ -42,10 +47,34 @@ def discard(df: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches small for the session's Python operators; results don't depend on it."""
+    """Readies the session for Python operators: the workers get the package, and Arrow batches are kept small; results don't depend on it."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+#: What the operator that runs in this worker keeps between tasks.
+_worker: dict = {}
+
+
+def begin(owner: str) -> None:
+    """Called by an operator's function in a worker: what another operator kept goes, and freed memory returns to the system."""
+    if _worker.get("owner") != owner:
+        _worker.clear()
+        _worker["owner"] = owner
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+
+def held(owner: str, key: Any, make: Callable[[], Any]) -> Any:
+    """A value that an operator makes once for a worker, until another operator begins there."""
+    begin(owner)
+    if key not in _worker:
+        _worker[key] = make()
+    return _worker[key]
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and its n + 1 offsets, without a copy where there are no nulls; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -64,6 +93,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that a piece holds one row or at most ``limit`` bytes of the column."""
+    begin("texts")
     for batch in batches:
         _, at = utf8(batch.column(batch.schema.get_field_index(column)))
         start = 0

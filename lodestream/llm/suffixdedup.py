@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from lodestream.llm.ngramlm import _B, _mix, _pack, _powers, _unpack
-from lodestream.llm.shared import small_batches, stored, utf8
+from lodestream.llm.shared import begin, small_batches, stored, utf8
 from lodestream.llm.suffixes import adjacent_prefixes, sorted_suffixes
 
 LENGTH, ANCHOR = 400, 300
 #: Window starts of a text that are treated at once; places within a segment take 24 bits.
 SEGMENT = 1 << 20
 #: Bytes of text in a block, and of anchors in a partition; their numbers follow the input.
-BLOCK_BYTES, PARTITION_BYTES = 4 << 20, 16 << 20
+BLOCK_BYTES, PARTITION_BYTES = 2 << 20, 16 << 20
 #: Bytes of anchors sent for a byte of text, about.
 SENT_PER_BYTE = 0.35
 #: Contexts of one anchor that are sorted together, and symbols that are sorted at once.
@@ -75,6 +75,7 @@ def anchors(raw: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, ...]
 
 
 def _of_block(table: pa.Table, text: str, length: int, anchor: int):
+    begin("suffixes")
     raw, at = utf8(table.column(text))
     each = [anchors(raw[a:b], length, anchor) if b - a >= length else None for a, b in zip(at[:-1], at[1:], strict=True)]
     return raw, at, each
