@@ -2,7 +2,7 @@
 
 Each learned language is a distribution over trigrams. A document's language proportions are the weights of a mixture of
 those distributions, found by expectation maximisation; the set of languages grows from the likeliest one as long as the
-log-likelihood gains more than the penalty, half the logarithm of the number of trigrams for each language added.
+log-likelihood gains more than the penalty, PENALTY times the logarithm of the number of trigrams for each language added.
 The prediction is the language of the largest proportion, the score is that proportion.
 
 Cases: a null text or one without a letter is ``und`` with score 0, as is every text if nothing could be learned. A text of
@@ -26,6 +26,8 @@ BUCKETS = 4096
 #: Steps that rank the languages, and steps of each candidate set.
 RANKING_STEPS, SET_STEPS = 3, 6
 SMOOTHING = 0.5
+#: A language has two parameters: that it is there, and its share.
+PENALTY = 1.0
 
 
 @functools.cache
@@ -121,7 +123,7 @@ def mixtures(counts: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         start = np.zeros((len(going), n_langs), np.float32)
         np.put_along_axis(start, order[going, :k], 1 / k, axis=1)
         weights = steps(going, start, SET_STEPS)
-        gain = likelihood(going, weights) - best[going] - 0.5 * np.log(np.maximum(total[going], 2))
+        gain = likelihood(going, weights) - best[going] - PENALTY * np.log(np.maximum(total[going], 2))
         better = gain > 0
         going, weights, gain = going[better], weights[better], gain[better]
         if not len(going):

@@ -139,7 +139,7 @@ def _base_places(words: str, phrases: dict[str, str]) -> Column:
         own = phrase.split()
         tests = " AND ".join(f"get({words}, i - {len(own) - 1 - k}) = '{w}'" for k, w in enumerate(own[:-1])) or "true"
         cases.append(f"flatten(transform({words}, (w, i) -> if(w = '{own[-1]}' AND i >= {len(own) - 1} AND {tests}, array(named_struct('at', i - {len(own) - 1}, 'label', '{label}')), array())))")
-    return F.expr(f"concat({', '.join(cases)})")
+    return F.expr(f"concat({', '.join([*cases, 'CAST(array() AS ARRAY<STRUCT<at: INT, label: STRING>>)'])})")
 
 
 def scan(docs: DataFrame, phrases: dict[str, str] | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
