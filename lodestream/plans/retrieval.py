@@ -101,21 +101,19 @@ def scope_rules(spark, sf_dir):
     return e.select("event_id", ops.scope_allowed(F.col("key"), _SCOPE).alias("allowed"))
 
 
-@R.add("SET5", """WITH b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS t FROM benchmark),
-    c AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS u FROM conversations WHERE turn = 0)
-    SELECT conv_id, item_id, round(len(list_intersect(t, u)) / len(list_distinct(list_concat(t, u))), 6) AS jaccard FROM b, c WHERE conv_id % 10 = item_id % 10""")
+@R.add("SET5", """WITH t AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS t FROM conversations)
+    SELECT a.conv_id, a.turn, round(CASE WHEN len(list_concat(a.t, b.t)) = 0 THEN 1 ELSE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) END, 6) AS jaccard FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""")
 def jaccards(spark, sf_dir):
-    """Token overlap of first turns and the benchmark items of the same digit."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", text.token_set(F.col("text")).alias("t"), (F.col("item_id") % 10).alias("digit"))
-    c = table(spark, sf_dir, "conversations").filter("turn = 0").select("conv_id", text.token_set(F.col("text")).alias("u"), (F.col("conv_id") % 10).alias("digit"))
-    return c.join(b, "digit").select("conv_id", "item_id", F.round(text.jaccard(F.col("t"), F.col("u")), 6).alias("jaccard"))
+    """Token overlap of each turn and the next one of its conversation."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.token_set(F.col("text")).alias("t"))
+    after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("t").alias("u"))
+    return c.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.round(text.jaccard(F.col("t"), F.col("u")), 6).alias("jaccard"))
 
 
-@R.add("WIN6", """SELECT source, doc_id, length(snippet) AS chars FROM (SELECT source, doc_id, substr(substr(text, 1, 300), 1, greatest(0, 1000 - before)) AS snippet, before FROM
-    (SELECT *, coalesce(sum(least(300, length(text))) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM documents)) WHERE before < 1000""")
+@R.add("WIN6", """SELECT source, doc_id, least(n, 20000 - before)::BIGINT AS chars FROM (SELECT source, doc_id, length(text) AS n, coalesce(sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM documents) WHERE before < 20000""")
 def char_budget(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("source", "doc_id", F.substring("text", 1, 300).alias("snippet"))
-    return ops.within_budget(d, 1000, [F.col("doc_id")], by="source").select("source", "doc_id", F.length("snippet").cast("long").alias("chars"))
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", F.col("text").alias("snippet"))
+    return ops.within_budget(d, 20_000, [F.col("doc_id")], by="source").select("source", "doc_id", F.length("snippet").cast("long").alias("chars"))
 
 
 @R.add("RNK2")
@@ -123,7 +121,7 @@ def diversified(spark, sf_dir):
     """Marginal relevance of each source's ten longest documents as candidates; sequential, so checked by tests."""
     from lodestream.operators.rollups import top_per_group
 
-    d = table(spark, sf_dir, "documents").select(F.col("source").alias("query_id"), F.col("doc_id").alias("id"), F.length("text").cast("double").alias("score"), F.substring("text", 1, 400).alias("snippet"))
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("query_id"), F.col("doc_id").alias("id"), F.length("text").cast("double").alias("score"), F.col("text").alias("snippet"))
     few = top_per_group(d, "query_id", [F.desc("score"), F.asc("id")], 10)
     return ops.diversify(few, 0.7).select("query_id", "id", F.round("score", 4).alias("score"), "place")
 

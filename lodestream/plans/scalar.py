@@ -34,9 +34,9 @@ def mmr_tokens(spark, sf_dir):
 
 
 @R.add("STR4", f"""SELECT {TURN}, CASE WHEN len(k) > 0 THEN text || ' OR ' || list_aggregate(k, 'string_agg', ' OR ') ELSE text END AS expanded
-    FROM (SELECT *, regexp_extract_all(lower(text), '[a-z]{{6,}}')[1:5] AS k FROM conversations)""")
+    FROM (SELECT *, regexp_extract_all(lower(text), '[a-z]{{6,}}') AS k FROM conversations)""")
 def query_expansion(spark, sf_dir):
-    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0)), 1, 5)
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))
     return _turns(spark, sf_dir).select("conv_id", "turn", text.expand_query(F.col("text"), words).alias("expanded"))
 
 

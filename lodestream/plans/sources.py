@@ -109,16 +109,15 @@ def last_lines(spark, sf_dir):
     return last.filter(F.try_parse_json("line").isNotNull()).select("event_id")
 
 
-@R.add("SRC1", "SELECT doc_id, sha256(text) AS hash FROM documents WHERE doc_id < 20")
+@R.add("SRC1", "SELECT CASE WHEN n_nationkey % 5 = 0 THEN 'MEMORY.md' ELSE 'memory/' || n_nationkey || '.md' END AS path, sha256(n_name) AS hash FROM nation WHERE n_nationkey % 5 <> 0 OR n_nationkey = 0")
 def markdown_scan(spark, sf_dir):
-    """Written as files under memory/, scanned and fingerprinted; the files are this query's own fixture."""
+    """Each nation as a file of a memory folder, scanned; what lies elsewhere isn't part of it."""
     at = scratch(spark)
-    d = table(spark, sf_dir, "documents").filter("doc_id < 20").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    d.repartition(20, "doc_id").write.partitionBy("doc_id").option("lineSep", "\x00").text(f"{at}/memory")
-    files = readers.fingerprints(spark, f"{at}/memory", glob="*.txt")
-    each = files.select(F.regexp_extract("path", "doc_id=(\\d+)", 1).cast("long").alias("doc_id"), "path")
-    bodies = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(f"{at}/memory").select("path", F.regexp_replace(F.col("content").cast("string"), "\x00$", "").alias("text"))
-    return each.join(bodies, "path").select("doc_id", F.sha2("text", 256).alias("hash"))
+    for r in table(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect():  # a table of fixed size
+        name = "MEMORY.md" if r[0] == 0 else f"notes/{r[0]}.md" if r[0] % 5 == 0 else f"memory/{r[0]}.md"
+        sinks.JsonStore(spark, f"{at}/{name}").write(r[1])
+    found = readers.markdown_files(spark, at)
+    return found.select(F.regexp_extract("path", "((?:memory/[^/]+|MEMORY)\\.md)$", 1).alias("path"), F.sha2("content", 256).alias("hash"))
 
 
 @R.add("SRC2", "SELECT count(*) AS files FROM nation")

@@ -21,10 +21,10 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- joins and sets ------------------------------------------------------------------------------
 
 
-@R.add("JN5", "SELECT o_orderkey, coalesce(c_name, 'order-' || o_orderkey) AS key FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey")
+@R.add("JN5", "SELECT o_orderkey, coalesce(c_name, 'order-' || o_orderkey) AS key FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey")
 def store_resolution(spark, sf_dir):
     """The store's key wins over the discovered one."""
-    store = table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("store_key"))
+    store = table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("store_key"))
     return table(spark, sf_dir, "orders").join(store, "o_custkey", "left").select("o_orderkey", F.coalesce("store_key", F.concat(F.lit("order-"), F.col("o_orderkey").cast("string"))).alias("key"))
 
 
