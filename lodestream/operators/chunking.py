@@ -14,13 +14,13 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def units(text: str) -> int:
-    return len(text) + sum(c > "￿" for c in text)
+    return len(text) if text.isascii() else len(text.encode("utf-16-le", "surrogatepass")) // 2
 
 
 def cut_units(text: str, n: int) -> int:
     """Characters of the longest prefix of at most n units."""
-    if len(text) <= n and text.isascii():
-        return len(text)
+    if text.isascii() or max(text) <= "￿":
+        return min(len(text), n)
     used = 0
     for i, c in enumerate(text):
         used += 2 if c > "￿" else 1

@@ -25,10 +25,6 @@ def query_tokens(query: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\w+", query.lower())))
 
 
-def _equals(word: str):
-    return lambda x: x == word
-
-
 def keyword_rank(chunks: DataFrame, query: str, every: bool = True, body: str = "text") -> DataFrame:
     """(id, rank): negated BM25 of the chunks that hold all query tokens, or any of them; smaller is better.
 
@@ -36,7 +32,7 @@ def keyword_rank(chunks: DataFrame, query: str, every: bool = True, body: str =
     """
     words = query_tokens(query)
     tokens = chunks.select("id", text.tokens(F.lower(F.col(body))).alias("t"))
-    counted = tokens.select("id", F.size("t").alias("dl"), *[F.size(F.filter("t", _equals(w))).alias(f"tf{i}") for i, w in enumerate(words)])
+    counted = tokens.select("id", F.size("t").alias("dl"), *[(F.size("t") - F.size(F.array_remove("t", w))).alias(f"tf{i}") for i, w in enumerate(words)])
     if not words:
         return counted.filter(F.lit(False)).select("id", F.lit(0.0).alias("rank"))
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))])

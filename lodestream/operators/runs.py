@@ -5,6 +5,8 @@ A run table has run_id, requester, child, created_at, started_at, ended_at, clea
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 #: Levels that a traversal follows at most; every session is visited once, so only a chain of new sessions is as deep.
@@ -14,17 +16,25 @@ MAX_DEPTH = 64
 def reached(runs: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """(root, session) for every session that can be reached from the roots (column root), the root included.
 
-    A frontier join a level: each level joins only sessions that are new, so cycles end. Every level is cut off by a checkpoint in the cluster's shared folder.
+    A frontier join a level: each level joins only sessions that are new, so cycles end. Every level is written to the cluster's shared folder and what was seen is all levels so far.
     """
+    spark = runs.sparkSession
+    folder = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/lodestream-checkpoints')}/lodestream/{uuid.uuid4().hex}"
     edges = runs.select("requester", "child").distinct()
-    seen = roots.select("root", F.col("root").alias("session")).distinct()
-    frontier = seen
-    for _ in range(max_depth):
+    schema = roots.select("root", F.col("root").alias("session")).schema
+
+    def level(df: DataFrame, n: int) -> DataFrame:
+        df.write.parquet(f"{folder}/{n}")
+        return spark.read.schema(schema).parquet(f"{folder}/{n}")
+
+    frontier = level(roots.select("root", F.col("root").alias("session")).distinct(), 0)
+    seen = frontier
+    for n in range(1, max_depth + 1):
         after = frontier.join(edges, frontier["session"] == edges["requester"]).select("root", F.col("child").alias("session")).distinct()
-        frontier = after.join(seen, ["root", "session"], "left_anti").checkpoint()
+        frontier = level(after.join(seen, ["root", "session"], "left_anti"), n)
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier).checkpoint()
+        seen = spark.read.schema(schema).parquet(*[f"{folder}/{k}" for k in range(n + 1)])
     return seen
 
 

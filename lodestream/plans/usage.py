@@ -215,7 +215,9 @@ def highest_window(spark, sf_dir):
 
 @R.add("AGG21", f"{_FACTS} SELECT session, median(duration) AS median, list_sort(list(duration))[least(count(*), CAST(floor(count(*) * 0.5::DOUBLE) AS BIGINT) + 1)] AS p50, {_P95} AS p95 FROM f GROUP BY session")
 def medians(spark, sf_dir):
-    return message_facts(spark, sf_dir).groupBy("session").agg(F.median("duration").alias("median"), rollups.nearest_rank(F.col("duration"), 0.5).alias("p50"), rollups.nearest_rank(F.col("duration"), 0.95).alias("p95"))
+    facts = message_facts(spark, sf_dir)
+    rank = lambda share, name: rollups.nearest_rank_at_scale(facts, ["session"], "duration", share).withColumnRenamed("percentile", name)
+    return facts.groupBy("session").agg(F.median("duration").alias("median")).join(rank(0.5, "p50"), "session").join(rank(0.95, "p95"), "session")
 
 
 @R.add("AGG22", f"{_FACTS} SELECT model, CAST(channel AS VARCHAR) AS code, count(*) AS n, round(avg(duration), 4) AS avg, min(duration) AS low, max(duration) AS high FROM f GROUP BY model, channel")
