@@ -11,16 +11,19 @@ one span keep every label. Repeated rows give equal results, extra columns are i
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Words of a text, before A-Z is lower-cased: the runs between other ASCII characters than digits and letters.
 WORDS = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+SEPARATOR = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Phrases whose words must stand consecutively, and their labels (fixed values).
 BASE = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
 
-#: Families: label -> (keyword, pattern of its name, pattern of its short identifier); over space-joined words (fixed values).
+#: Families: label -> (keyword of the name, pattern of its name, pattern of its short identifier); over space-joined words. A blank after a label tells a second spelling (fixed values).
 FAMILIES = {
     "mit": ("mit", "mit", "mit"),
     "apache": ("apache", "apache(?: software)?", "apache(?: \\d)*"),
@@ -41,7 +44,8 @@ FAMILIES = {
     "unlicense": ("unlicense", "unlicense", "unlicense"),
     "wtfpl": ("wtfpl", "wtfpl|do what the fuck you want to public", "wtfpl"),
     "postgresql": ("postgresql", "postgresql", "postgresql"),
-    "python": ("python", "python(?: software foundation)?", "psf(?: \\d)*|python(?: \\d)+"),
+    "python": ("python", "python", "python(?: \\d)+"),
+    "python ": ("python software", "python software foundation", "psf(?: \\d)*"),
     "php": ("php", "php", "php(?: \\d)+"),
     "ruby": ("ruby", "ruby", "ruby"),
     "openssl": ("openssl", "openssl", "openssl"),
@@ -60,13 +64,20 @@ FAMILIES = {
     "pddl": ("dedication", "public domain dedication and", "pddl(?: \\d)*"),
     "sspl": ("server", "server side public", "sspl(?: \\d)*"),
     "elastic": ("elastic", "elastic", "elastic(?: \\d)+"),
-    "cc0": ("cc0", "cc0|creative commons zero", "cc0(?: \\d)*"),
-    "cc-by": ("by", "(?:cc by|creative commons attribution)", "cc by(?: \\d)+"),
-    "cc-by-sa": ("sa", "(?:cc by sa|creative commons attribution share ?alike)", "cc by sa(?: \\d)+"),
-    "cc-by-nc": ("nc", "(?:cc by nc|creative commons attribution non ?commercial)", "cc by nc(?: \\d)+"),
-    "cc-by-nd": ("nd", "(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s)", "cc by nd(?: \\d)+"),
-    "cc-by-nc-sa": ("nc", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)", "cc by nc sa(?: \\d)+"),
-    "cc-by-nc-nd": ("nc", "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s)", "cc by nc nd(?: \\d)+"),
+    "cc0": ("cc0", "cc0", "cc0(?: \\d)*"),
+    "cc0 ": ("creative commons zero", "creative commons zero", "cc zero"),
+    "cc-by": ("cc by", "cc by", "cc by(?: \\d)+"),
+    "cc-by ": ("creative commons", "creative commons attribution", "creative commons by"),
+    "cc-by-sa": ("cc by sa", "cc by sa", "cc by sa(?: \\d)+"),
+    "cc-by-sa ": ("creative commons", "creative commons attribution share ?alike", "creative commons by sa"),
+    "cc-by-nc": ("cc by nc", "cc by nc", "cc by nc(?: \\d)+"),
+    "cc-by-nc ": ("creative commons", "creative commons attribution non ?commercial", "creative commons by nc"),
+    "cc-by-nd": ("cc by nd", "cc by nd", "cc by nd(?: \\d)+"),
+    "cc-by-nd ": ("creative commons", "creative commons attribution no ?deriv(?:ative)?s", "creative commons by nd"),
+    "cc-by-nc-sa": ("cc by nc sa", "cc by nc sa", "cc by nc sa(?: \\d)+"),
+    "cc-by-nc-sa ": ("creative commons", "creative commons attribution non ?commercial share ?alike", "creative commons by nc sa"),
+    "cc-by-nc-nd": ("cc by nc nd", "cc by nc nd", "cc by nc nd(?: \\d)+"),
+    "cc-by-nc-nd ": ("creative commons", "creative commons attribution non ?commercial no ?deriv(?:ative)?s", "creative commons by nc nd"),
 }
 #: Signatures made for every family: (name, priority, strength, pattern with NAME or ID); the first stands first (fixed values).
 TEMPLATES = (
@@ -81,19 +92,24 @@ OTHERS = (
     ("proprietary", 10, 0.5, "reserved", "all rights reserved"),
     ("public-domain", 10, 0.5, "domain", "(?:in|into|to) the public domain"),
     ("cc-url", 30, 0.8, "creativecommons", "creativecommons org licenses(?: [a-z]+)+(?: \\d)*"),
-    ("warranty", 5, 0.3, "warranty", "without (?:any )?warrant(?:y|ies)(?: of any kind)?"),
+    ("warranty", 5, 0.3, "warrant", "without (?:any )?warrant(?:y|ies)(?: of any kind)?"),
     ("mit-text", 60, 1.0, "permission", "permission is hereby granted free of charge to any person obtaining a copy"),
     ("bsd-text", 60, 1.0, "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
     ("isc-text", 60, 1.0, "permission", "permission to use copy modify and or distribute this software for any purpose"),
 )
 #: A text without any of these can't match a base phrase or a rule (fixed values).
-GATES = ("licen", "released under", "released by", "distributed", "published", "available", "covered", "reserved", "domain", "creativecommons", "warrant", "permission", "redistribution", "released subject")
+GATES = ("licen", "released", "distributed", "published", "available", "covered", "reserved", "domain", "creativecommons", "warrant", "permission", "redistribution")
+
+
+def _literal(pattern: str, otherwise: str) -> str:
+    """The plain characters that every match of the pattern begins with; the family's keyword if the pattern has alternatives."""
+    return otherwise if "|" in re.sub("\\(.*?\\)", "", pattern) else re.match("[a-z0-9 ]+", re.sub("[a-z0-9]\\?.*", "", pattern))[0].strip()
 
 
 def rules() -> list[tuple[str, int, float, str, str]]:
     """All signatures: label, priority, strength, keyword, pattern."""
     made = [
-        (label, priority, strength, keyword if "NAME" in pattern else "", pattern.replace("NAME", name).replace("ID", short))
+        (label.strip(), priority, strength, keyword if "NAME" in pattern else _literal(short, keyword), pattern.replace("NAME", name).replace("ID", short))
         for _, priority, strength, pattern in TEMPLATES
         for label, (keyword, name, short) in FAMILIES.items()
     ]
@@ -132,6 +148,12 @@ def _spans(line: str) -> Column:
     """)
 
 
+def _word_count(c: Column) -> Column:
+    """Pieces between runs of separators, less the empty ones at the ends: cheaper than extracting the words."""
+    edge = F.when(c.rlike(f"\\A{SEPARATOR}"), 1).otherwise(0) + F.when(c.rlike(f"{SEPARATOR}\\z"), 1).otherwise(0)
+    return F.when(c == "", 0).otherwise(F.size(F.split(c, f"{SEPARATOR}+")) - edge)
+
+
 def _base_places(words: str, phrases: dict[str, str]) -> Column:
     """Places of the phrases: at (number of the first word), label."""
     cases = []
@@ -147,11 +169,10 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, text: str = "te
     phrases = BASE if phrases is None else phrases
     whole = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     low = F.lower("text")
-    gates = [*GATES, *(p.split()[-1] for p in phrases.values())]
     gate = F.lit(False)
-    for g in dict.fromkeys(gates):
-        gate = gate | F.contains(low, F.lit(g.split()[0]))
-    seen = whole.select("doc_id", F.regexp_count("text", F.lit(WORDS)).cast("long").alias("n_words"), F.when(gate, F.col("text")).alias("text"))
+    for g in [*GATES, *{p.split()[-1] for p in phrases.values() if not any(g in p.split()[-1] for g in GATES)}]:
+        gate = gate | F.contains(low, F.lit(g))
+    seen = whole.select("doc_id", _word_count(F.col("text")).cast("long").alias("n_words"), F.when(gate, F.col("text")).alias("text"))
     none = F.lit(None)
     lined = seen.select("doc_id", "n_words", F.when(F.col("text").isNotNull(), F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(WORDS), F.lit(0))).alias("words"))
     lined = lined.select("doc_id", "n_words", "words", F.when(F.col("words").isNotNull(), F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))).alias("line"), _rule_table().alias("rules"))
