@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import ctypes
 import gc
 import uuid
@@ -29,21 +31,36 @@ def scratch_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Folders of this process's stored() tables, which go when it ends.
+_made: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def _discard_all() -> None:
+    for path, spark in _made.items():
+        if spark.sparkContext._jsc is not None:
+            with contextlib.suppress(Exception):  # the session may be ending too
+                _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: later steps neither recompute it nor depend on one executor."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/lodestream/{uuid.uuid4().hex}"
+    _made[path] = spark
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
     """Deletes the files of a stored() table that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        _delete(df.sparkSession, folder)
 
 
 def small_batches(spark: SparkSession) -> None:

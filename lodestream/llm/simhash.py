@@ -239,8 +239,8 @@ def groups(docs: DataFrame, words_each: int = 3, distance: int = 3, text: str =
 
 
 #: Of near copies that share four fifths of their shingles of five words: signatures of the word sets, segments of each, and
-#: bits of 256 in which the fingerprints of the shingles may differ (a share of 0.8 makes 39 on average).
-SIGNATURES, SIGNATURE_SEGMENTS, CONFIRM_BITS, CONFIRM_WORDS = 6, 4, 42, 5
+#: bits of 256 in which the fingerprints of the shingles may differ (a share of 0.8 makes 39 on average, seldom over 48).
+SIGNATURES, SIGNATURE_SEGMENTS, CONFIRM_BITS, CONFIRM_WORDS = 8, 4, 48, 5
 
 
 def copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
