@@ -79,11 +79,11 @@ def absolute_time_ms(c: Column) -> Column:
 
 
 def next_every(now_ms: Column, every_ms: Column, anchor_ms: Column) -> Column:
-    """Next fire of a periodic schedule: the anchor itself while it lies ahead, else the next whole step after it, one at least."""
+    """Next fire of a periodic schedule: the anchor itself while it lies ahead, else the next whole step after it, one at least; null without a period."""
     every = F.greatest(F.lit(1), F.floor(every_ms).cast("long"))
     anchor = F.greatest(F.lit(0), F.floor(F.coalesce(anchor_ms, now_ms)).cast("long"))
     steps = F.greatest(F.lit(1), F.floor((now_ms - anchor + every - 1) / every).cast("long"))
-    return F.when(now_ms < anchor, anchor).otherwise(anchor + steps * every)
+    return F.when(every_ms.isNull(), F.lit(None).cast("long")).when(now_ms < anchor, anchor).otherwise(anchor + steps * every)
 
 
 def next_at(now_ms: Column, at_ms: Column) -> Column:

@@ -75,9 +75,9 @@ def channel_health(now_ms: Column, s: dict[str, Column]) -> Column:
     """Reason of the first rule that fits a snapshot (managed, running, connected, busy, active_runs, last_run_ms, last_event_ms, last_start_ms, polling)."""
     busy = F.coalesce(s["busy"], F.lit(False)) | (F.coalesce(s["active_runs"], F.lit(0)) > 0)
     current = s["last_start_ms"].isNull() | F.coalesce(s["last_run_ms"] >= s["last_start_ms"], F.lit(False))
-    recent = F.coalesce(F.greatest(F.lit(0), now_ms - s["last_run_ms"]) < BUSY_STALE_MS, F.lit(False))
+    recent = F.coalesce(now_ms - s["last_run_ms"] < BUSY_STALE_MS, F.lit(False))
     up = now_ms - s["last_start_ms"]
-    stale = ~s["polling"] & F.coalesce(now_ms - s["last_event_ms"] > EVENT_STALE_MS, F.lit(False)) & F.coalesce(up > EVENT_STALE_MS, F.lit(True))
+    stale = ~s["polling"] & F.coalesce(s["connected"], F.lit(False)) & F.coalesce(now_ms - s["last_event_ms"] > EVENT_STALE_MS, F.lit(False)) & F.coalesce(up > EVENT_STALE_MS, F.lit(True))
     return (
         F.when(~s["managed"], "unmanaged").when(~F.coalesce(s["running"], F.lit(False)), "not-running").when(busy & current & recent, "busy").when(busy & current, "stuck")
         .when(F.coalesce(up < CONNECT_GRACE_MS, F.lit(False)), "startup-connect-grace").when(F.coalesce(~s["connected"], F.lit(False)), "disconnected").when(stale, "stale-socket").otherwise("healthy")

@@ -16,12 +16,13 @@ QUERIES, ORACLES = R.queries, R.oracles
 def run_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Finished runs from the event stream: job, model, and token counts from the JSON payload."""
     tokens = F.get_json_object("props", "$.k").cast("double")
+    counted = lambda c: F.when((F.col("event_id") % 7 != 0) & c.isNotNull(), F.greatest(F.lit(0.0), F.floor(c)))
     return table(spark, sf_dir, "events").select(
         F.col("user_id").alias("job_id"),
         F.coalesce(F.nullif(F.trim("event_type"), F.lit("")), F.lit("<unknown>")).alias("model"),
         "ts",
-        F.when(F.col("event_id") % 7 != 0, F.greatest(F.lit(0.0), F.floor(tokens))).alias("input_tokens"),
-        F.when(F.col("event_id") % 7 != 0, F.greatest(F.lit(0.0), F.floor(F.col("value")))).alias("output_tokens"),
+        counted(tokens).alias("input_tokens"),
+        counted(F.col("value")).alias("output_tokens"),
     )
 
 

@@ -198,7 +198,7 @@ def sync_trigger(delta_bytes: int = 100_000, delta_messages: int = 50) -> Machin
     return step
 
 
-def pending_work(ttl_ms: int, most: int = 10) -> Machine:
+def pending_work(ttl_ms: int) -> Machine:
     """(id, accepted, revision, size): one open item of each type, those past their expiry gone; an acknowledgement takes one away. Every change is a revision."""
 
     def step(state: State, row: Row):
@@ -208,7 +208,7 @@ def pending_work(ttl_ms: int, most: int = 10) -> Machine:
         if row.get("ack"):
             if held.pop(row["item"], None) is not None:
                 revision += 1
-        elif row["item"] not in held and len(held) < most:
+        elif row["item"] not in held:
             held[row["item"]], accepted, revision = row["at"] + ttl_ms, True, revision + 1
         return {"held": held, "revision": revision}, [(row["id"], accepted, revision, len(held))]
 

@@ -200,6 +200,17 @@ def test_echo_by_id_outlives_the_text(spark):
     assert sorted(r["in_id"] for r in state.echoes(inbound, out).collect()) == [1, 3]
 
 
+@pytest.mark.parametrize("changes, reason", [
+    ({}, "healthy"), ({"managed": False}, "unmanaged"), ({"running": False}, "not-running"), ({"busy": True, "last_run_ms": 9_990_000}, "busy"), ({"busy": True, "last_run_ms": 8_000_000}, "stuck"), ({"active_runs": 2, "last_run_ms": None, "last_start_ms": None}, "stuck"),
+    ({"busy": True, "last_run_ms": 100}, "healthy"), ({"last_start_ms": 9_950_000, "connected": False}, "startup-connect-grace"), ({"connected": False}, "disconnected"), ({"last_event_ms": 8_000_000, "last_start_ms": 1}, "stale-socket"),
+    ({"last_event_ms": 8_000_000, "last_start_ms": 9_000_000}, "healthy"), ({"last_event_ms": 8_000_000, "last_start_ms": 1, "polling": True}, "healthy"), ({"last_event_ms": 8_000_000, "last_start_ms": 1, "connected": None}, "healthy")])
+def test_channel_health(spark, changes, reason):
+    snapshot = {"managed": True, "running": True, "connected": True, "busy": False, "active_runs": None, "last_run_ms": None, "last_event_ms": 9_999_000, "last_start_ms": 7_000_000, "polling": False} | changes
+    kinds = {"managed": "boolean", "running": "boolean", "connected": "boolean", "busy": "boolean", "active_runs": "int", "polling": "boolean"}
+    columns = {k: F.lit(v).cast(kinds.get(k, "long")) for k, v in snapshot.items()}
+    assert spark.range(1).select(state.channel_health(F.lit(10_000_000), columns)).first()[0] == reason
+
+
 def test_policies_and_freshness(spark):
     assert state.reset_policy("direct", idle_minutes=5) == state.ResetPolicy("idle", 4, 5) and state.reset_policy("direct") == state.ResetPolicy("daily", 4, None)
     assert state.reset_policy("group", {"direct": {"mode": "idle"}}) == state.ResetPolicy("daily", 4, None) and state.reset_policy("direct", {"direct": {"mode": "idle"}}) == state.ResetPolicy("idle", 4, 60)
