@@ -35,7 +35,7 @@ BLOCK_BYTES, PARTITION_BYTES = 2 << 20, 16 << 20
 #: Bytes of anchors sent for a byte of text, about.
 SENT_PER_BYTE = 0.35
 #: Contexts of one anchor that are sorted together, and symbols that are sorted at once.
-GROUP_ROWS, SORTED_SYMBOLS = 256, 1 << 18
+GROUP_ROWS, SORTED_SYMBOLS = 256, 1 << 16
 #: Neighbouring windows that share a key when a large group is cut.
 BANDS = (8, 1)
 
