@@ -18,6 +18,8 @@ from lodestream.session import ship
 
 #: Rows of an Arrow batch that goes to a Python worker; long texts make a batch large, so it is kept low.
 ARROW_ROWS = 500
+#: Bytes of a row group of a stored table; a writer holds one in memory.
+ROW_GROUP_BYTES = 8 << 20
 #: Bytes of text that a worker treats at once; numpy needs a few dozen bytes for each of them.
 SLICE_BYTES = 1 << 20
 
@@ -53,7 +55,7 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/lodestream/{uuid.uuid4().hex}"
     _made[path] = spark
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", str(ROW_GROUP_BYTES)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -79,9 +81,14 @@ def begin(owner: str) -> None:
         _worker.clear()
         _worker["owner"] = owner
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+        release()
+
+
+def release() -> None:
+    """Returns what the worker has freed to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def held(owner: str, key: Any, make: Callable[[], Any]) -> Any:

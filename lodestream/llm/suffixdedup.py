@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from lodestream.llm.ngramlm import _B, _mix, _pack, _powers, _unpack
-from lodestream.llm.shared import begin, small_batches, stored, utf8
+from lodestream.llm.shared import begin, release, slices, small_batches, stored, utf8
 from lodestream.llm.suffixes import adjacent_prefixes, sorted_suffixes
 
 LENGTH, ANCHOR = 400, 300
@@ -32,6 +32,8 @@ LENGTH, ANCHOR = 400, 300
 SEGMENT = 1 << 20
 #: Bytes of text in a block, and of anchors in a partition; their numbers follow the input.
 BLOCK_BYTES, PARTITION_BYTES = 2 << 20, 16 << 20
+#: Rows with texts in an Arrow batch.
+TEXT_ROWS = 100
 #: Bytes of anchors sent for a byte of text, about.
 SENT_PER_BYTE = 0.35
 #: Contexts of one anchor that are sorted together, and symbols that are sorted at once.
@@ -76,6 +78,7 @@ def anchors(raw: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, ...]
 
 def _of_block(table: pa.Table, text: str, length: int, anchor: int):
     begin("suffixes")
+    release()
     raw, at = utf8(table.column(text))
     each = [anchors(raw[a:b], length, anchor) if b - a >= length else None for a, b in zip(at[:-1], at[1:], strict=True)]
     return raw, at, each
@@ -207,6 +210,7 @@ def remove(docs: DataFrame, made: Callable[[int, int, int, bytes], tuple], added
     """docs' other columns with what ``made`` makes of (bytes, bytes removed, spans removed, remaining bytes) of each text."""
     spark = docs.sparkSession
     small_batches(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
     own = {f.name for f in added.fields} | {text}
     kept = [T.StructField(f.name, f.dataType, True) for f in docs.schema.fields if f.name not in own]
     rows = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_sd_text"))
@@ -304,7 +308,8 @@ def remove(docs: DataFrame, made: Callable[[int, int, int, bytes], tuple], added
         signed = lambda x: x - (1 << 64) if x >> 63 else x
         arrays += [pa.array([None] * n + [signed(k[j]) for k in classes], pa.int64()) for j in (0, 1)]
         arrays += [pa.array([None] * n + [v[j] for v in classes.values()], t) for j, t in enumerate((pa.binary(), pa.binary(), pa.int32(), pa.int64()))]
-        return pa.table(arrays, names=mid.fieldNames())
+        out = pa.table(arrays, names=mid.fieldNames())
+        return pa.Table.from_batches(out.to_batches(max_chunksize=TEXT_ROWS), schema=out.schema)
 
     sent = dealt.groupBy("_sd_block").applyInArrow(send, "part int, block long, n int, keys binary, contexts binary, flags binary")
     judged = sent.groupBy("part").applyInArrow(judge, "block long, part int, states binary")
@@ -327,13 +332,17 @@ def remove(docs: DataFrame, made: Callable[[int, int, int, bytes], tuple], added
     finished = open_rows.select(*[f"`{n}`" for n in kept_names], "_sd_row", "_sd_text", "_sd_sure").join(stored(per_row), "_sd_row", "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "_sd_text"):
             column = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: E731, B023
+            found = column("_sd_found")
+            ends = found.offsets.to_numpy()
+            first, last = (found.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            raw, at = utf8(column("_sd_text"))
             out = []
-            for t, s, f in zip(column("_sd_text").to_pylist(), column("_sd_sure").to_pylist(), column("_sd_found").to_pylist(), strict=True):
+            for i, s in enumerate(column("_sd_sure").to_pylist()):
                 a, b = np.frombuffer(s, np.int64).reshape(2, -1)
-                more = np.array([(x["a"], x["b"]) for x in f or []], np.int64).reshape(-1, 2)
-                out.append(made(*_without(np.frombuffer(t.encode(), np.uint8), np.concatenate([a, more[:, 0]]), np.concatenate([b, more[:, 1]]))))
+                more = slice(ends[i], ends[i + 1]) if found[i].is_valid else slice(0, 0)
+                out.append(made(*_without(raw[at[i] : at[i + 1]], np.concatenate([a, first[more]]), np.concatenate([b, last[more]]))))
             yield pa.RecordBatch.from_arrays([column(n) for n in kept_names] + [pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=kept_names + added_names)
 
     schema = T.StructType(kept + added.fields)
