@@ -70,7 +70,8 @@ def anchors(raw: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, ...]
         at = place[start]
         shape = (end - start).astype(np.uint64) * np.uint64(1 << 20) + (at - start).astype(np.uint64)
         context = _mix(_mix((sums[end + length] - sums[start]) * down[start]) + shape * _B)
-        found.append((runs[at], context, at + first, start + first, end + first))
+        # a smallest hash is a small number: it is mixed again, or nearly all anchors would go to the first partition
+        found.append((_mix(runs[at] + _B), context, at + first, start + first, end + first))
     if not found:
         return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
