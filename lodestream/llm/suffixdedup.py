@@ -153,8 +153,9 @@ def _cut(classes: DataFrame, span: int, band: int) -> DataFrame:
             out = []
             for g, u, before, after, low, n in zip(*[batch.column(i).to_pylist() for i in range(6)], strict=True):
                 for b in range(low // band, len(before) // band + 1):
-                    nearest, furthest = b * band, b * band + band - 1
-                    first, last = min(len(before), furthest), max(low, nearest)  # the distances of this class in the band
+                    nearest = min(b * band, span + 1 - band)  # a short last band begins earlier, so that its windows have the same inner span
+                    furthest = nearest + band - 1
+                    first, last = min(len(before), furthest), max(low, b * band)  # the distances of this class in the band
                     core = before[len(before) - nearest :] + b"|" + after[: span - furthest]
                     left = before[len(before) - first : len(before) - nearest]
                     right = after[span - furthest : span - last]
@@ -181,8 +182,9 @@ def _repeated(classes: DataFrame, span: int, bands: tuple[int, ...]) -> DataFram
     found = whole(classes).unionByName(_sort_groups(classes.join(some, "g", "left_semi"), span))
     many = sizes.filter(F.col("classes") > GROUP_ROWS).select("g")
     if many.limit(1).count():
-        cut = stored(_cut(stored(classes.join(many, "g", "left_semi")), span, bands[0]))
-        inner = stored(_repeated(_merged(cut), bands[0] - 1, bands[1:]))
+        band = min(bands[0], span + 1)
+        cut = stored(_cut(stored(classes.join(many, "g", "left_semi")), span, band))
+        inner = stored(_repeated(_merged(cut), band - 1, bands[1:]))
         links = cut.select("g", "u", "pg", "pu", "shift").join(inner, ["g", "u"])
         found = found.unionByName(links.select(F.col("pg").alias("g"), F.col("pu").alias("u"), (F.col("low") + F.col("shift")).alias("low"), (F.col("high") + F.col("shift")).alias("high")))
     return found

@@ -235,6 +235,24 @@ def test_suffix_dedup(spark, frame, corpus, odd_texts, monkeypatch, group_rows,
     assert [out[i] for i in range(len(texts))] == removed(texts, 400)
 
 
+def test_suffix_dedup_of_large_groups_with_late_anchors(spark, frame, monkeypatch):
+    """The last window's anchor stands 96 to 100 bytes in, where the bands of a cut group end."""
+    monkeypatch.setattr(suffixdedup, "GROUP_ROWS", 2)
+    rng = np.random.default_rng(3)
+    letters = lambda n: rng.integers(97, 123, n, np.uint8)
+    texts = []
+    for size in range(400, 405):
+        wanted = set(range(96, 101))
+        while wanted:
+            passage = letters(size)
+            place = int(suffixdedup.anchors(passage[-400:], 400, 300)[2][0])
+            if place in wanted:
+                wanted.remove(place)
+                texts += [np.concatenate([letters(110), passage, letters(110)]).tobytes().decode() for _ in range(4)]
+    out = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixdedup.digests(frame(texts)).collect()}
+    assert [out[i] for i in range(len(texts))] == removed(texts, 400)
+
+
 def test_suffix_dedup_of_equal_rows_and_cut_characters(spark, frame):
     text = "é" * 450
     df = frame([text, text, "a" + text, None], ids=[1, 1, 2, 3])
