@@ -76,30 +76,6 @@ def fingerprints(docs: DataFrame, words_each: int = 3, text: str = "text", key:
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def signatures(text: bytes, many: int) -> list[int]:
-    """Fingerprints of the text's set of words under ``many`` hashes; a changed word weighs less here than in shingles, which hold it several times."""
-    import xxhash
-
-    words = set(text.lower().split())
-    if not words:
-        return [0] * many
-    base = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
-    found = []
-    for k in range(many):
-        h = base + np.uint64((k * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        found.append(fingerprint_of(h ^ (h >> np.uint64(31))))
-    return found
-
-
-def wide_fingerprint(hashes: list[int]) -> bytes:
-    """256 bits in the manner of fingerprint(), from four mixtures of each hash."""
-    base = np.array(hashes, dtype=np.uint64)
-    mixed = [(base ^ (base >> np.uint64(29 + k))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k) for k in range(4)]
-    return b"".join(fingerprint_of(m ^ (m >> np.uint64(32))).to_bytes(8, "little") for m in mixed)
-
-
 def _near(a: np.ndarray, b: np.ndarray, start: np.ndarray, distance: int, segments: int) -> np.ndarray:
     """Which pairs pass the chain from their segment on, and then the full Hamming check."""
     width = 64 // segments
@@ -135,13 +111,12 @@ def _forest(n: int, a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return kept
 
 
-def _links(run: np.ndarray, keys: np.ndarray, sides: np.ndarray, fps: np.ndarray, reps: np.ndarray, wide: np.ndarray | None, distance: int, segments: int, confirm: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among rows sorted by run, a bucket or two blocks of one; sides tells the two blocks apart. wide: the fingerprints that confirm a link, if they do."""
+def _links(run: np.ndarray, keys: np.ndarray, sides: np.ndarray, fps: np.ndarray, reps: np.ndarray, distance: int, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links among rows sorted by run, a bucket or two blocks of one; sides tells the two blocks apart."""
     start = ((keys >> np.int64(KEY_BITS)) % segments).astype(np.uint64) * np.uint64(64 // segments)
 
     def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        hit = _near(fps[i], fps[j], start[i], distance, segments)
-        return hit if wide is None else hit[np.bitwise_count(wide[i[hit]] ^ wide[j[hit]]).sum(axis=1) <= confirm]
+        return _near(fps[i], fps[j], start[i], distance, segments)
 
     edge = np.flatnonzero(np.diff(run, prepend=-1))
     size = np.diff(np.append(edge, len(run)))
@@ -174,10 +149,10 @@ def _links(run: np.ndarray, keys: np.ndarray, sides: np.ndarray, fps: np.ndarray
     return np.concatenate([reps[:0], *u]), np.concatenate([reps[:0], *v])
 
 
-def links(classes: DataFrame, distance: int = 3, segments: int = SEGMENTS, confirm: int = 0) -> DataFrame:
+def links(classes: DataFrame, distance: int = 3, segments: int = SEGMENTS) -> DataFrame:
     """Rows (u, v): enough links between the classes (fps, rep) to join all that are linked.
 
-    Two classes link if one of their signatures fps, the same for both, is within ``distance`` bits, and, where there is a column ``wide``, those fingerprints are within ``confirm`` bits.
+    Two classes link if one of their signatures fps, the same for both, is within ``distance`` bits.
     """
     spark = classes.sparkSession
     width = 64 // segments
@@ -185,14 +160,13 @@ def links(classes: DataFrame, distance: int = 3, segments: int = SEGMENTS, confi
     bits = min(KEY_BITS, width * chain)  # the rest of a longer chain is checked on the pairs
     turned = lambda x, s: F.shiftleft(x, width * s).bitwiseOR(F.shiftrightunsigned(x, 64 - width * s)) if s else x
     keys = lambda x, k: F.array(*[((k * segments + s) * (1 << KEY_BITS) + F.shiftrightunsigned(turned(x, s), 64 - bits)).cast("long") for s in range(segments)])
-    wide = F.col("wide") if "wide" in classes.columns else F.lit(None).cast("binary")
-    each = classes.select(F.posexplode("fps").alias("k", "fp"), "rep", wide.alias("wide"))
-    rows = stored(each.select(F.explode(keys(F.col("fp"), F.col("k"))).alias("key"), "fp", "rep", "wide"))
+    each = classes.select(F.posexplode("fps").alias("k", "fp"), "rep")
+    rows = stored(each.select(F.explode(keys(F.col("fp"), F.col("k"))).alias("key"), "fp", "rep"))
     large = stored(rows.groupBy("key").count().filter(F.col("count") > BUCKET_ROWS).select("key", F.ceil(F.col("count") * 2 / BUCKET_ROWS).cast("int").alias("blocks")))
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    cut = rows.join(large, "key").select("key", "fp", "rep", "wide", mine.alias("side"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cut = cut.select("key", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "fp", "rep", "wide")
-    whole = rows.join(large, "key", "left_anti").select("key", F.lit(0).alias("side"), F.lit(0).alias("i"), F.lit(0).alias("j"), "fp", "rep", "wide")
+    cut = rows.join(large, "key").select("key", "fp", "rep", mine.alias("side"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cut = cut.select("key", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "fp", "rep")
+    whole = rows.join(large, "key", "left_anti").select("key", F.lit(0).alias("side"), F.lit(0).alias("i"), F.lit(0).alias("j"), "fp", "rep")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = whole.unionByName(cut).repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
     small_batches(spark)
@@ -201,10 +175,9 @@ def links(classes: DataFrame, distance: int = 3, segments: int = SEGMENTS, confi
         held: list[list[np.ndarray]] = []
 
         def found(rows: list[np.ndarray]) -> pa.RecordBatch:
-            key, side, i, j, fp, rep, packed = rows
-            confirming = np.frombuffer(b"".join(packed), np.uint64).reshape(len(key), -1) if confirm else None
+            key, side, i, j, fp, rep = rows
             change = np.diff(key, prepend=key[:1]) | np.diff(i, prepend=i[:1]) | np.diff(j, prepend=j[:1])
-            u, v = _links(np.cumsum(change != 0), key, side, fp.view(np.uint64), rep, confirming, distance, segments, confirm)
+            u, v = _links(np.cumsum(change != 0), key, side, fp.view(np.uint64), rep, distance, segments)
             return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
         for batch in batches:
@@ -224,10 +197,10 @@ def links(classes: DataFrame, distance: int = 3, segments: int = SEGMENTS, confi
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def _components(prints: DataFrame, same: list[str], distance: int, segments: int, confirm: int) -> DataFrame:
+def _components(prints: DataFrame, same: list[str], distance: int, segments: int) -> DataFrame:
     """prints (doc_id and the columns ``same``, in which copies are equal) with component_id."""
     classes = stored(prints.groupBy(*same).agg(F.min("doc_id").alias("rep")))
-    joined = components(links(classes.filter("rep IS NOT NULL"), distance, segments, confirm))
+    joined = components(links(classes.filter("rep IS NOT NULL"), distance, segments))
     of_class = classes.join(joined, classes["rep"] == joined["node"], "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
     return prints.join(stored(of_class), same)
 
@@ -235,39 +208,14 @@ def _components(prints: DataFrame, same: list[str], distance: int, segments: int
 def groups(docs: DataFrame, words_each: int = 3, distance: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Rows (doc_id, fp, component_id): component_id is the smallest doc_id reachable over links, the row's own included."""
     prints = stored(fingerprints(docs, words_each, text, key).select("doc_id", F.array("fp").alias("fps")))
-    return _components(prints, ["fps"], distance, SEGMENTS, 0).select("doc_id", F.element_at("fps", 1).alias("fp"), "component_id")
-
-
-#: Of near copies that share four fifths of their shingles of five words: signatures of the word sets, segments of each, and
-#: bits of 256 in which the fingerprints of the shingles may differ (a share of 0.8 makes 39 on average, seldom over 48).
-SIGNATURES, SIGNATURE_SEGMENTS, CONFIRM_BITS, CONFIRM_WORDS = 8, 4, 48, 5
-
-
-def copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Rows (doc_id, hash, component_id), hash of the text, of copies and near copies: a similarity of about 0.8 or more over shingles of five words.
-
-    A single 64-bit fingerprint of the shingles of such pairs differs in ten bits on average, too many for keys of equal bits. So candidates come from several
-    signatures of the word sets, in one of which such pairs are mostly within three bits, and the wide fingerprint of the shingles confirms them.
-    """
-    small_batches(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, "text"):
-            raw, at = utf8(piece.column(1))
-            whole = raw.tobytes()
-            texts = [whole[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-            fps = np.array([signatures(t, SIGNATURES) for t in texts], np.uint64).view(np.int64)
-            wide = [wide_fingerprint(shingle_hashes(t, CONFIRM_WORDS)) for t in texts]
-            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), pa.array(list(fps), pa.list_(pa.int64())), pa.array(wide, pa.binary())], names=["doc_id", "hash", "fps", "wide"])
-
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
-    prints = stored(rows.mapInArrow(run, "doc_id long, hash long, fps array<long>, wide binary"))
-    return _components(prints, ["fps", "wide"], 3, SIGNATURE_SEGMENTS, CONFIRM_BITS).select("doc_id", "hash", "component_id")
+    return _components(prints, ["fps"], distance, SEGMENTS).select("doc_id", F.element_at("fps", 1).alias("fp"), "component_id")
 
 
 def without_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row of each group of copies() stays, that of the smallest id, with all its columns. Rows without an id stay; of rows that repeat an id one does, the one whose text sorts first by its hash."""
-    found = copies(docs, text, key).filter("doc_id = component_id")
+    """One row of each group of near copies stays, that of the smallest id, with all its columns. Rows without an id stay; of rows that repeat an id one does, the one whose text sorts first by its hash."""
+    from lodestream.llm import nearcopies
+
+    found = nearcopies.kept(docs, text, key)
     kept = stored(found.groupBy(F.col("doc_id").alias("_sh_id")).agg(F.min("hash").alias("_sh_hash")))
     own = docs.withColumns({"_sh_id": F.col(key).cast("long"), "_sh_hash": F.xxhash64(text)})
     # the texts are dealt once, by id: the join's order serves the numbering of rows that are equal throughout

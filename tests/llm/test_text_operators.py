@@ -402,6 +402,30 @@ def test_one_of_each_group_of_copies_stays(spark, frame, odd_texts):
     assert simhash.without_copies(frame([])).count() == 0
 
 
+def test_near_copies_equal_brute_force(spark, frame, corpus, monkeypatch):
+    """Texts around a similarity of 0.8, both sides of it, with a passage that most of them share: no link of 0.8 is lost, and none below is made."""
+    from lodestream.llm import nearcopies
+
+    monkeypatch.setattr(nearcopies, "BUCKET_ROWS", 60)
+    rng = random.Random(21)
+    shared, texts = prose(rng, 25), [t for t in corpus if t]
+    for _ in range(50):
+        base = prose(rng, rng.choice([8, 30, 100, 300])).split()
+        texts.append(" ".join(base) + " " + shared)
+        for share in (0.005, 0.015, 0.02, 0.025, 0.03, 0.04):
+            texts.append(" ".join("new" + w if rng.random() < share else w for w in base) + " " + shared)
+    sets = [set(simhash.shingle_hashes(t.encode(), 5)) for t in texts]
+    parent = list(range(len(texts)))
+    root = lambda x: x if parent[x] == x else root(parent[x])
+    near = [(i, j, len(sets[i] & sets[j]) / len(sets[i] | sets[j])) for j in range(len(sets)) for i in range(j)]
+    assert sum(0.8 <= x < 0.85 for *_, x in near) > 10 and sum(0.7 < x < 0.8 for *_, x in near) > 10
+    for i, j, x in near:
+        if x >= 0.8 and root(i) != root(j):
+            parent[max(root(i), root(j))] = min(root(i), root(j))
+    out = sorted(r["doc_id"] for r in simhash.without_copies(frame(texts)).collect())
+    assert out == [i for i in range(len(texts)) if root(i) == i]
+
+
 def test_components_of_paths_stars_and_nulls(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, i) for i in range(2, 30)] + [(500, 500), (None, 4), (7, 1), (1, 7)]
     found = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
