@@ -303,6 +303,15 @@ def test_backoff(spark, frame, corpus, odd_texts, order, monkeypatch):
         assert out[i]["score"] == (pytest.approx(s / n) if n else None)
 
 
+def test_backoff_of_three_words_is_registered(spark, frame, corpus, tmp_path):
+    from lodestream.llm import queries
+
+    frame(corpus).write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r["doc_id"]: r for r in queries.QUERIES["op8_backoff_order3"](spark, str(tmp_path)).collect()}
+    for i, (n, s, lower) in enumerate(backoff(corpus, 3)):
+        assert (out[i]["n_words"], out[i]["n_backoffs"]) == (n, lower) and out[i]["log_score"] == pytest.approx(s, rel=1e-9, abs=1e-5)
+
+
 def test_backoff_of_nothing(spark, frame):
     assert ngramlm.score(frame([])).count() == 0 and ngramlm.score(frame(["", None])).filter("score IS NULL AND n_words = 0").count() == 2
 
