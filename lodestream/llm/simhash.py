@@ -212,11 +212,11 @@ def groups(docs: DataFrame, words_each: int = 3, distance: int = 3, text: str =
 
 
 def without_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row of each group of near copies stays, that of the smallest id, with all its columns. Rows without an id stay; of rows that repeat an id one does, the one whose text sorts first by its hash."""
+    """One row of each group of near copies stays, that of the smallest id, with all its columns. Rows without an id stay; rows that repeat an id are told apart by their texts."""
     from lodestream.llm import nearcopies
 
     found = nearcopies.kept(docs, text, key)
-    kept = stored(found.groupBy(F.col("doc_id").alias("_sh_id")).agg(F.min("hash").alias("_sh_hash")))
+    kept = stored(found.select(F.col("doc_id").alias("_sh_id"), F.col("hash").alias("_sh_hash")))
     own = docs.withColumns({"_sh_id": F.col(key).cast("long"), "_sh_hash": F.xxhash64(text)})
     # the texts are dealt once, by id: the join's order serves the numbering of rows that are equal throughout
     same = Window.partitionBy("_sh_id", "_sh_hash").orderBy("_sh_id", "_sh_hash")

@@ -411,6 +411,13 @@ def test_one_of_each_group_of_copies_stays(spark, frame, odd_texts):
     assert simhash.without_copies(frame([])).count() == 0
 
 
+def test_different_texts_of_one_id_stay(spark, frame):
+    rng = random.Random(4)
+    a, b, c = (prose(rng, 200) for _ in range(3))
+    out = simhash.without_copies(frame([a, b, a + " end", b + " end", c], ids=[1, 1, 2, 3, 3]))
+    assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == sorted([(1, a), (1, b), (3, c)])
+
+
 def test_near_copies_equal_brute_force(spark, frame, corpus, monkeypatch):
     """Texts around a similarity of 0.8, both sides of it, with a passage that most of them share: no link of 0.8 is lost, and none below is made."""
     from lodestream.llm import nearcopies
