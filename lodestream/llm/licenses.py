@@ -28,7 +28,7 @@ FAMILIES = {
     "mit": ("mit", "mit", "mit"),
     "apache": ("apache", "apache(?: software)?", "apache(?: \\d)*"),
     "gpl": ("general", "(?:gnu )?general public", "gpl(?:v?\\d)?(?: \\d)*(?: only| or later)?"),
-    "lgpl": ("lesser", "(?:gnu )?(?:lesser|library) general public", "lgpl(?:v?\\d)?(?: \\d)*(?: only| or later)?"),
+    "lgpl": ("general public", "(?:gnu )?(?:lesser|library) general public", "lgpl(?:v?\\d)?(?: \\d)*(?: only| or later)?"),
     "agpl": ("affero", "(?:gnu )?affero general public", "agpl(?:v?\\d)?(?: \\d)*(?: only| or later)?"),
     "gfdl": ("documentation", "(?:gnu )?free documentation", "gfdl(?: \\d)*"),
     "bsd": ("bsd", "(?:(?:new|modified|simplified|revised|[0234] clause) )?bsd(?: [0234] clause)?", "bsd(?: [0234] clause)?"),
@@ -42,7 +42,8 @@ FAMILIES = {
     "boost": ("boost", "boost software", "bsl \\d \\d"),
     "artistic": ("artistic", "artistic", "artistic(?: \\d)+"),
     "unlicense": ("unlicense", "unlicense", "unlicense"),
-    "wtfpl": ("wtfpl", "wtfpl|do what the fuck you want to public", "wtfpl"),
+    "wtfpl": ("wtfpl", "wtfpl", "wtfpl"),
+    "wtfpl ": ("want to public", "do what the fuck you want to public", "wtfpl"),
     "postgresql": ("postgresql", "postgresql", "postgresql"),
     "python": ("python", "python", "python(?: \\d)+"),
     "python ": ("python software", "python software foundation", "psf(?: \\d)*"),

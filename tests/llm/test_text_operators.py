@@ -347,6 +347,12 @@ def test_licences(spark, frame, odd_texts, corpus):
     assert licenses.scan(frame([])).count() == 0 and len(licenses.rules()) > 200
 
 
+def test_every_spelling_of_a_name_passes_its_keyword(spark, frame):
+    texts = ["under the GNU Library General Public License", "the GNU Lesser General Public License", "Do What The Fuck You Want To Public License", "the WTFPL license"]
+    labels = {r["doc_id"]: r["labels"] for r in licenses.scan(frame(texts)).collect()}
+    assert [labels[i] for i in range(4)] == ["gpl,lgpl", "gpl,lgpl", "wtfpl", "wtfpl"]
+
+
 def test_contained_matches_are_suppressed(spark, frame):
     rows = licenses.scan(frame(["released under the terms of the GNU Lesser General Public License"]), phrases={}).collect()
     assert rows[0]["labels"] == "lgpl" and rows[0]["n_base"] == 0
