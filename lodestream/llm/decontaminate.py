@@ -44,6 +44,11 @@ def rolled(ids: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
+def _before(item: int | None, other: int | None) -> bool:
+    """Whether an id comes before another; null comes last."""
+    return item is not None and (other is None or item < other)
+
+
 class Index:
     """The seeds of a block of benchmark items."""
 
@@ -89,7 +94,7 @@ class Index:
             item, own = self.items[k]
             tiles = tile(ids, own, seeds_of, self.least)
             part = sum(n for n, _, _ in tiles) / len(own)
-            if part > found[0] or (part == found[0] and part > 0 and item < found[1]):
+            if part > found[0] or (part == found[0] and part > 0 and _before(item, found[1])):
                 found = (part, item, len(tiles), len(words))
         return found
 
@@ -132,7 +137,7 @@ def tiled(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, text: str =
     """docs with coverage, item_id, n_tiles and n_words of the benchmark item that each covers most."""
     spark = docs.sparkSession
     small_batches(spark)
-    items = benchmark.filter("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    items = benchmark.filter("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(size) // BLOCK_BYTES))
     own = [f for f in docs.schema.fields if f.name not in ADDED.fieldNames() or f.name == text]
@@ -140,7 +145,7 @@ def tiled(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, text: str =
     nulls = {"coverage": F.lit(0.0), "item_id": F.lit(None).cast("long"), "n_tiles": F.lit(0), "n_words": F.lit(None).cast("long")}
     out = out.select("*", *[c.alias(n) for n, c in nulls.items()])
     for b in range(blocks):
-        block = [(r["item_id"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()]
+        block = [(r["item_id"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()]
         out = _pass(out, spark.sparkContext.broadcast(block), least, text)
     return out
 
@@ -157,7 +162,7 @@ def _pass(df: DataFrame, shared, least: int, text: str) -> DataFrame:
             now = []
             for t, *old in zip(column[text].to_pylist(), *[column[n].to_pylist() for n in added], strict=True):
                 new = index.best(t)
-                better = new[0] > old[0] or (new[0] == old[0] and new[1] is not None and new[1] < old[1])
+                better = new[0] > old[0] or (new[0] == old[0] and _before(new[1], old[1]))
                 now.append(new if better else (old[0], old[1], old[2], new[3]))
             types = (pa.float64(), pa.int64(), pa.int32(), pa.int64())
             column |= {n: pa.array([x[i] for x in now], t) for i, (n, t) in enumerate(zip(added, types, strict=True))}
@@ -167,7 +172,7 @@ def _pass(df: DataFrame, shared, least: int, text: str) -> DataFrame:
 
 
 def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows (doc_id, n_words, contaminated, coverage, item_id, n_tiles); item_id is null where nothing is shared."""
+    """Rows (doc_id, n_words, contaminated, coverage, item_id, n_tiles); item_id is null where nothing is shared, and for an item without an id."""
     found = tiled(docs.select("doc_id", "text"), benchmark)
     return found.select("doc_id", "n_words", (F.col("coverage") >= COVERAGE).alias("contaminated"), "coverage", "item_id", "n_tiles")
 

@@ -158,6 +158,16 @@ def test_tiles_find_reordered_passages(spark, frame):
     assert decontaminate.judge(frame(texts), bench.limit(0)).filter("contaminated").count() == 0 and decontaminate.judge(frame([]), bench).count() == 0
 
 
+def test_items_without_an_id_are_found(spark, frame):
+    rng = random.Random(2)
+    a, b = prose(rng, 30), prose(rng, 30)
+    benchmark = spark.createDataFrame([(None, a), (4, b), (None, b)], "item_id long, text string")
+    docs = frame([f"{prose(rng, 20)} {a}", f"{b} {prose(rng, 20)}", prose(rng, 50)])
+    out = {r["doc_id"]: (r["contaminated"], r["item_id"]) for r in decontaminate.judge(docs, benchmark).collect()}
+    assert out == {0: (True, None), 1: (True, 4), 2: (False, None)}
+    assert [r["doc_id"] for r in decontaminate.clean(docs, benchmark).collect()] == [2]
+
+
 def test_blocks_of_the_benchmark_give_the_same(spark, frame, corpus, monkeypatch):
     bench = spark.createDataFrame([(i, " ".join(t.split()[5:40])) for i, t in enumerate(corpus[:30])], "item_id long, text string")
     whole = sorted(map(tuple, decontaminate.judge(frame(corpus), bench).collect()))
