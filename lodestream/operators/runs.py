@@ -9,14 +9,11 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
-#: Levels that a traversal follows at most; every session is visited once, so only a chain of new sessions is as deep.
-MAX_DEPTH = 64
 
-
-def reached(runs: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def reached(runs: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(root, session) for every session that can be reached from the roots (column root), the root included.
 
-    A frontier join a level: each level joins only sessions that are new, so cycles end. Every level is written to the cluster's shared folder and what was seen is all levels so far.
+    A frontier join a level: each level joins only sessions that are new, so cycles end, and levels go on until there are none, or to ``max_depth``. Every level is written to the cluster's shared folder and what was seen is all levels so far.
     """
     spark = runs.sparkSession
     folder = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/lodestream-checkpoints')}/lodestream/{uuid.uuid4().hex}"
@@ -29,7 +26,9 @@ def reached(runs: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH) -> Da
 
     frontier = level(roots.select("root", F.col("root").alias("session")).distinct(), 0)
     seen = frontier
-    for n in range(1, max_depth + 1):
+    n = 0
+    while max_depth is None or n < max_depth:
+        n += 1
         after = frontier.join(edges, frontier["session"] == edges["requester"]).select("root", F.col("child").alias("session")).distinct()
         frontier = level(after.join(seen, ["root", "session"], "left_anti"), n)
         if frontier.isEmpty():
@@ -38,7 +37,7 @@ def reached(runs: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH) -> Da
     return seen
 
 
-def descendants(runs: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def descendants(runs: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(root, run columns): the runs whose requester is reached, each once a root."""
     sessions = reached(runs, roots, max_depth)
     return sessions.join(runs, sessions["session"] == runs["requester"]).drop("session")
@@ -48,7 +47,7 @@ def _pending():
     return F.col("ended_at").isNull() | F.col("cleanup_at").isNull() | (F.col("cleanup_at") < F.col("ended_at"))
 
 
-def counts(runs: DataFrame, roots: DataFrame, excluded_run: object = None, max_depth: int = MAX_DEPTH) -> DataFrame:
+def counts(runs: DataFrame, roots: DataFrame, excluded_run: object = None, max_depth: int | None = None) -> DataFrame:
     """(root, descendants, active, pending): active runs have no end; pending ones no end or no completed cleanup, without the excluded run."""
     own = descendants(runs, roots, max_depth)
     pending = _pending() if excluded_run is None else _pending() & (F.col("run_id") != excluded_run)
@@ -57,7 +56,7 @@ def counts(runs: DataFrame, roots: DataFrame, excluded_run: object = None, max_d
     return roots.select("root").distinct().join(found, "root", "left").withColumns(zero)
 
 
-def active_direct(runs: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def active_direct(runs: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(root, active_direct): direct runs without an end, or ended with pending descendants."""
     direct = roots.select("root").distinct().join(runs, F.col("root") == runs["requester"])
     below = counts(runs, direct.select(F.col("child").alias("root")), max_depth=max_depth).select(F.col("root").alias("child"), "pending")

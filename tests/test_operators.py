@@ -235,3 +235,11 @@ def test_drain_and_allow_list(spark):
     assert [(r["id"], r["has_more"]) for r in listing.drain(df, 2).orderBy("place").collect()] == [(1, True), (2, True)]
     row = spark.range(1).select(listing.allow_match({"id": F.lit("x"), "name": F.lit("y")}, ["y"]).alias("m"), listing.allow_match({"id": F.lit("x")}, ["*"]).alias("w")).first()
     assert (row["m"], row["w"]) == ("name", "wildcard")
+
+
+def test_runs_deeper_than_64_levels_are_reached(spark):
+    from lodestream.operators import runs
+
+    chain = spark.createDataFrame([(f"s{i}", f"s{i + 1}") for i in range(67)] + [("s67", "s0")], "requester string, child string")
+    found = runs.reached(chain, spark.createDataFrame([("s0",)], "root string"))
+    assert {r["session"] for r in found.collect()} == {f"s{i}" for i in range(68)}
