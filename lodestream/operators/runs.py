@@ -5,10 +5,10 @@ A run table has run_id, requester, child, created_at, started_at, ended_at, clea
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, functions as F
 
+from lodestream.session import scratch
+
 
 def reached(runs: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(root, session) for every session that can be reached from the roots (column root), the root included.
@@ -16,7 +16,7 @@ def reached(runs: DataFrame, roots: DataFrame, max_depth: int | None = None) ->
     A frontier join a level: each level joins only sessions that are new, so cycles end, and levels go on until there are none, or to ``max_depth``. Every level is written to the cluster's shared folder and what was seen is all levels so far.
     """
     spark = runs.sparkSession
-    folder = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/lodestream-checkpoints')}/lodestream/{uuid.uuid4().hex}"
+    folder = scratch(spark)
     edges = runs.select("requester", "child").distinct()
     schema = roots.select("root", F.col("root").alias("session")).schema
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -38,6 +39,17 @@ def ship(spark: SparkSession) -> None:
     context._lodestream_shipped = True
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared one that spark.checkpoint.dir names. Where that is unset, a folder of this machine serves a local session alone, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.gettempdir()
+    return f"{base}/lodestream/{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver's tables; always through Spark's own reader, so any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -7,13 +7,13 @@ watermark has passed the last row by the idle time, what is held comes out.
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lodestream.session import scratch
 from lodestream.streaming.machines import Flush, Machine
 
 
@@ -78,7 +78,7 @@ def files(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
     """All that the stream has now, through a checkpointed file sink in the shared folder."""
-    root = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/lodestream-checkpoints')}/lodestream/{uuid.uuid4().hex}"
+    root = scratch(spark)
     query = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
