@@ -29,6 +29,17 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(UNICODE_TOKEN), F.lit(0))
 
 
+def token_count(c: Column) -> Column:
+    """How many tokens a text has, without a list of them: the places where a word character follows none."""
+    return F.coalesce(F.regexp_count(c, F.lit(UNICODE_TOKEN)), F.lit(0))
+
+
+def word_pattern(token: str) -> str:
+    """Matches a token, which is made of word characters, where it stands alone."""
+    inside = UNICODE_TOKEN.removesuffix("+")
+    return f"(?<!{inside}){token}(?!{inside})"
+
+
 def fts_query(c: Column) -> Column:
     """Every token quoted, joined by AND; null if there is none."""
     found = tokens(c)

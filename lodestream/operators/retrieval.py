@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -28,19 +31,21 @@ def query_tokens(query: str) -> list[str]:
 def keyword_rank(chunks: DataFrame, query: str, every: bool = True, body: str = "text") -> DataFrame:
     """(id, rank): negated BM25 of the chunks that hold all query tokens, or any of them; smaller is better.
 
-    Only counts of the query's tokens leave the scan. The corpus figures are one row, which is broadcast.
+    Texts are split into tokens nowhere. One scan counts the tokens of all texts and the texts that hold each query token, another the query's tokens; in both a token is
+    searched as a word only where the text contains it at all. The corpus figures are one row, which is broadcast.
     """
     words = query_tokens(query)
-    tokens = chunks.select("id", text.tokens(F.lower(F.col(body))).alias("t"))
-    counted = tokens.select("id", F.size("t").alias("dl"), *[(F.size("t") - F.size(F.array_remove("t", w))).alias(f"tf{i}") for i, w in enumerate(words)])
     if not words:
-        return counted.filter(F.lit(False)).select("id", F.lit(0.0).alias("rank"))
-    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))])
-    hits = [F.col(f"tf{i}") > 0 for i in range(len(words))]
-    matched = hits[0]
-    for h in hits[1:]:
-        matched = matched & h if every else matched | h
-    joined = counted.filter(matched).join(F.broadcast(stats))
+        return chunks.filter(F.lit(False)).select("id", F.lit(0.0).alias("rank"))
+    low = chunks.select("id", F.lower(F.col(body)).alias("t"))
+    inside = [F.contains("t", F.lit(w)) for w in words]
+    # a query token consists of word characters alone, so as a pattern it stands for itself
+    word = [text.word_pattern(w) for w in words]
+    stats = low.agg(F.count(F.lit(1)).alias("n"), F.avg(text.token_count(F.col("t"))).alias("avgdl"), *[F.count_if(inside[i] & F.rlike("t", F.lit(word[i]))).alias(f"df{i}") for i in range(len(words))])
+    matched = functools.reduce(operator.and_ if every else operator.or_, inside)
+    counted = low.filter(matched).select("id", text.token_count(F.col("t")).alias("dl"), *[F.when(inside[i], F.regexp_count("t", F.lit(word[i]))).otherwise(0).alias(f"tf{i}") for i in range(len(words))])
+    held = functools.reduce(operator.and_ if every else operator.or_, [F.col(f"tf{i}") > 0 for i in range(len(words))])
+    joined = counted.filter(held).join(F.broadcast(stats))
 
     def part(i: int) -> Column:
         df, tf = F.col(f"df{i}"), F.col(f"tf{i}")
@@ -109,7 +114,7 @@ def diversify(hits: DataFrame, share: float = 0.7, by: str = "query_id") -> Data
 
 
 def within_budget(hits: DataFrame, chars: int, order: list[Column], body: str = "snippet", by: str | None = None) -> DataFrame:
-    """Rows in order until the characters are used up; the row that goes over is cut, later ones are dropped."""
+    """Rows in order until the characters are used up; the row that goes over is cut, later ones are dropped. Without ``by`` the hits are one list, a top-k of a few rows."""
     w = (Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))).orderBy(*order)
     before = F.coalesce(F.sum(F.length(body)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     own = hits.withColumn("_before", before).filter(F.col("_before") < chars)
