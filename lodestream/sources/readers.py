@@ -21,9 +21,9 @@ def fingerprints(spark: SparkSession, *paths: str, glob: str = "*") -> DataFrame
 
 
 def files_of(spark: SparkSession, folder: str, suffix: str = ".jsonl") -> DataFrame:
-    """(path, mtime_ms) of a folder's own files, newest first."""
+    """(path, mtime_ms, size) of a folder's own files, newest first."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(folder)
-    return files.select("path", F.unix_millis("modificationTime").alias("mtime_ms")).orderBy(F.desc("mtime_ms"), "path")
+    return files.select("path", F.unix_millis("modificationTime").alias("mtime_ms"), F.col("length").alias("size")).orderBy(F.desc("mtime_ms"), "path")
 
 
 def rolling_log(spark: SparkSession, folder: str) -> DataFrame:

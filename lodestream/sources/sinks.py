@@ -48,7 +48,7 @@ class VersionedTable:
 
 
 class JsonStore:
-    """A small JSON file written only when its bytes change, by rename, with the one before kept as .bak."""
+    """A small JSON file written only when its bytes change, with the one before kept as .bak. The new file replaces the old one in a single rename, so a reader finds the one or the other at any time."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
@@ -66,26 +66,32 @@ class JsonStore:
         before = self.read()
         if before is not None and hashlib.sha256(before.encode()).digest() == hashlib.sha256(text.encode()).digest():
             return False
-        (p, fs), (tmp, _), (bak, _) = self._path(), self._path(".tmp"), self._path(".bak")
+        if before is not None:
+            self._put(".bak", before)
+        self._put("", text)
+        return True
+
+    def _put(self, suffix: str, text: str) -> None:
+        (p, fs), (tmp, _) = self._path(suffix), self._path(suffix + ".tmp")
         out = fs.create(tmp, True)
         out.write(bytearray(text.encode()))
         out.close()
-        if before is not None:
-            fs.delete(bak, False)
-            fs.rename(p, bak)
-        fs.rename(tmp, p)
-        return True
+        hadoop, gateway = self.spark._jvm.org.apache.hadoop.fs, self.spark.sparkContext._gateway
+        over = gateway.new_array(hadoop.Options.Rename, 1)
+        over[0] = getattr(hadoop.Options, "Rename").OVERWRITE
+        hadoop.FileContext.getFileContext(p.toUri(), self.spark._jsc.hadoopConfiguration()).rename(tmp, p, over)
 
 
 def rotate(spark: SparkSession, path: str, max_bytes: int, keep: int = 3, stamp: str = "0") -> bool:
-    """Renames a file over the size to path.bak.<stamp> and drops all but the newest backups."""
+    """Renames a file over the size to path.bak.<stamp> and drops all but the newest backups: those of the largest stamps, by number where they are numbers."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(conf)
     if not fs.exists(p) or fs.getFileStatus(p).getLen() <= max_bytes:
         return False
     fs.rename(p, jvm.org.apache.hadoop.fs.Path(f"{path}.bak.{stamp}"))
-    backups = sorted((s.getPath().toString() for s in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}.bak.*"))), reverse=True)
+    age = lambda name: (0, int(name), "") if name.isdigit() else (1, 0, name)
+    backups = sorted((s.getPath().toString() for s in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}.bak.*"))), key=lambda at: age(at.rpartition(".bak.")[2]), reverse=True)
     for old in backups[keep:]:
         fs.delete(jvm.org.apache.hadoop.fs.Path(old), False)
     return True

@@ -60,6 +60,13 @@ def test_rotation(spark, tmp_path):
     assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["s.bak.2", "s.bak.3", "s.bak.4"]
 
 
+def test_rotation_keeps_the_largest_numbers(spark, tmp_path):
+    for stamp in ("9", "10", "11", "8"):
+        (tmp_path / "s").write_text("xxxx")
+        assert sinks.rotate(spark, str(tmp_path / "s"), 3, 2, stamp)
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["s.bak.10", "s.bak.11"]
+
+
 def test_log_records(spark):
     lines = ['{"0":"a","1":{"x":1},"_meta":{"logLevelName":"WARN","date":"d","name":"{\\"subsystem\\":\\"s\\",\\"module\\":\\"m\\"}"}}', "nope", '{"time":"t","0":"b"}']
     out = [tuple(r) for r in readers.log_records(spark.createDataFrame([(x,) for x in lines], "line string")).drop("line").collect()]
