@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestream.functions import timefns
 from lodestream.operators import dsl, listing, retrieval, rollups, windows
-from lodestream.sources import readers
+from lodestream.sources import readers, sinks
 
 
 class SearchManager(Protocol):
@@ -47,7 +47,7 @@ class ChunkIndex:
 
 @dataclass
 class Fallback:
-    """The first manager that answers; an error of one is kept and the next is asked."""
+    """The first manager that answers; an error of one, also one that shows only when its rows are read, is kept and the next is asked. An answer is read once and held in memory: it is a result of a few rows."""
 
     managers: list[SearchManager]
     errors: list[str] = field(default_factory=list)
@@ -56,8 +56,7 @@ class Fallback:
         for i, manager in enumerate(self.managers):
             try:
                 found = ask(manager)
-                found.schema  # noqa: B018  a plan that can't be resolved fails here
-                return found
+                return found.sparkSession.createDataFrame(found.collect(), found.schema)
             except Exception as e:
                 self.errors.append(str(e))
                 if i == len(self.managers) - 1:
@@ -74,25 +73,46 @@ class Fallback:
         return self._first(lambda m: m.status())
 
 
+@dataclass
+class Engine:
+    """A context engine over messages (session, seq, tokens): order is what assembly keeps first."""
+
+    order: Callable[[], list]
+
+    def ingest(self, held: DataFrame, new: DataFrame) -> DataFrame:
+        """What is held and what is new, each (session, seq) once; a new message replaces the one held."""
+        return sinks.upserted(held, new.dropDuplicates(["session", "seq"]), ["session", "seq"])
+
+    def assemble(self, messages: DataFrame, budget: float) -> DataFrame:
+        """Each session's messages within the budget of tokens."""
+        return windows.newest_within(messages, "session", self.order(), F.col("tokens"), budget)
+
+    def compact(self, messages: DataFrame, budget: float) -> DataFrame:
+        """(session, folded, folded_tokens, kept): how many messages go beyond the budget and their tokens, and how many stay."""
+        stays = self.assemble(messages, budget).select("session", "seq", F.lit(True).alias("_stays"))
+        marked = messages.join(stays, ["session", "seq"], "left").withColumn("_gone", F.col("_stays").isNull())
+        return marked.groupBy("session").agg(F.count_if("_gone").alias("folded"), F.sum(F.when(F.col("_gone"), F.col("tokens"))).alias("folded_tokens"), F.count_if("_stays").alias("kept"))
+
+
 class Engines:
-    """Named context engines: each assembles a session's messages under a budget and compacts them."""
+    """Named context engines."""
 
     def __init__(self) -> None:
-        self._made: dict[str, Callable[..., DataFrame]] = {}
+        self._made: dict[str, Engine] = {}
 
-    def register(self, name: str, assemble: Callable[..., DataFrame]) -> None:
+    def register(self, name: str, engine: Engine) -> None:
         if name in self._made:
             raise ValueError(f"engine {name} is registered twice")
-        self._made[name] = assemble
+        self._made[name] = engine
 
-    def get(self, name: str) -> Callable[..., DataFrame]:
+    def get(self, name: str) -> Engine:
         if name not in self._made:
             raise LookupError(f"no engine {name}; there are {sorted(self._made)}")
         return self._made[name]
 
 
 ENGINES = Engines()
-ENGINES.register("newest", lambda messages, budget: windows.newest_within(messages, "session", [F.desc("seq")], F.col("tokens"), budget))
+ENGINES.register("newest", Engine(lambda: [F.desc("seq")]))
 
 
 def register_tools(spark: SparkSession) -> list[str]:
@@ -131,6 +151,17 @@ def cron_list(jobs: DataFrame, query: str = "", enabled: str = "all", sort: str
     return listing.page(listing.jobs(jobs, enabled, query), sort, descending, "id", offset, limit)
 
 
+def cron_runs(runs: DataFrame, job: object = "all", statuses: list[str] | None = None, deliveries: list[str] | None = None, query: str = "", sort: str = "ts", descending: bool = True, offset: int = 0, limit: int = 50) -> DataFrame:
+    """Runs (id, job_id, status, delivery_status, summary) of one job or all, by time."""
+    own = listing.runs(runs, "job_id", job, "status", statuses, "summary", query, "delivery_status", deliveries)
+    return listing.page(own, sort, descending, "id", offset, limit)
+
+
+def sessions_list(sessions: DataFrame, query: str = "", sort: str = "recent", limit: int = 50) -> DataFrame:
+    """Sessions (key, and what the query language asks for) that the query keeps, the first ones by the sort."""
+    return listing.sort_sessions(dsl.filter_sessions(sessions, query)[0], sort).limit(limit)
+
+
 def logs_tail(records: DataFrame, limit: int = 500) -> DataFrame:
     return readers.tail(records, "line_no", limit)
 

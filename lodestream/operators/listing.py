@@ -40,12 +40,14 @@ def jobs(df: DataFrame, enabled: str = "all", query: str = "", name: str = "name
     return df.filter(F.contains(F.lower(name), F.lit(query.strip().lower()))) if query.strip() else df
 
 
-def runs(df: DataFrame, job: str, scope: object = "all", status: str = "status", statuses: list[str] | None = None, text: str = "summary", query: str = "") -> DataFrame:
-    """Runs of one job or of all, of some statuses or ["all"], that hold the query."""
+def runs(df: DataFrame, job: str, scope: object = "all", status: str = "status", statuses: list[str] | None = None, text: str = "summary", query: str = "", delivery: str = "delivery_status", deliveries: list[str] | None = None) -> DataFrame:
+    """Runs of one job or of all, of some statuses and delivery statuses or ["all"], that hold the query."""
     if scope != "all":
         df = df.filter(F.col(job) == scope)
     if statuses and "all" not in statuses:
         df = df.filter(F.col(status).isin(*statuses))
+    if deliveries and "all" not in deliveries:
+        df = df.filter(F.col(delivery).isin(*deliveries))
     return df.filter(F.contains(F.lower(text), F.lit(query.strip().lower()))) if query.strip() else df
 
 

@@ -33,15 +33,8 @@ def bundle(facts: DataFrame, dimensions: list[str]) -> DataFrame:
     return sets.select(name.alias("dimension"), value.alias("value"), "n", "total_tokens", "total_cost")
 
 
-def nearest_rank(values: Column, share: float) -> Column:
-    """Element floor(share * n) of the sorted values, counted from 0 and clamped; exact, over a collected list of one group."""
-    ordered = F.array_sort(F.collect_list(values))
-    n = F.size(ordered)
-    return F.element_at(ordered, F.greatest(F.lit(1), F.least(n, F.floor(n * share).cast("int") + 1)))
-
-
-def nearest_rank_at_scale(df: DataFrame, by: list[str], value: str, share: float) -> DataFrame:
-    """The same for groups of any size: equal values are counted first, and only running counts of distinct values are windowed."""
+def nearest_rank(df: DataFrame, by: list[str], value: str, share: float) -> DataFrame:
+    """Element floor(share * n) of each group's sorted values, counted from 0 and clamped: equal values are counted first, and only running counts of distinct values are windowed."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*by)
     upto = counts.withColumn("_upto", F.sum("_n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_n").over(w))
@@ -52,7 +45,7 @@ def nearest_rank_at_scale(df: DataFrame, by: list[str], value: str, share: float
 def latency(df: DataFrame, by: list[str], ms: str) -> DataFrame:
     """count, avg, p95 (nearest rank), min, max."""
     basic = df.filter(F.col(ms).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(ms), 4).alias("avg_ms"), F.min(ms).alias("min_ms"), F.max(ms).alias("max_ms"))
-    return basic.join(nearest_rank_at_scale(df, by, ms, 0.95).withColumnRenamed("percentile", "p95_ms"), by)
+    return basic.join(nearest_rank(df, by, ms, 0.95).withColumnRenamed("percentile", "p95_ms"), by)
 
 
 def merge_latency(partial: DataFrame, by: list[str]) -> DataFrame:

@@ -77,12 +77,30 @@ def document_redaction(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(docs.redacted(F.col("text")), 256).alias("hash"))
 
 
-@R.add("STR16")
+def _fuzzy_sql(key: str, body: str, source: str, query: str) -> str:
+    """The score of every word of the query from its characters' leftmost places, counted from 1; a step on, a gap, a word's beginning and the place are written out for each character."""
+    parts = []
+    for word in query.split():
+        found = f"(SELECT {key}, {body} AS b FROM {source})"
+        for k, c in enumerate(word):
+            at = f"instr(b, '{c}')" if k == 0 else f"CASE WHEN instr(substr(b, p{k - 1} + 1), '{c}') = 0 THEN 0 ELSE p{k - 1} + instr(substr(b, p{k - 1} + 1), '{c}') END"
+            before = "0" if k == 0 else f"p{k - 1}"
+            run = "0" if k == 0 else f"r{k - 1}"
+            found = f"(SELECT *, CASE WHEN p{k} = {before} + 1 THEN {run} + 1 ELSE 0 END AS r{k} FROM (SELECT *, {at} AS p{k} FROM {found} WHERE {'true' if k == 0 else f'p{k - 1} > 0'}))"
+        cost = " + ".join(
+            f"0.1::DOUBLE * (p{k} - 1) - 5 * r{k} + {'0' if k == 0 else f'CASE WHEN r{k} = 0 THEN 2 * (p{k} - p{k - 1} - 1) ELSE 0 END'} - CASE WHEN p{k} = 1 OR regexp_matches(substr(b, p{k} - 1, 1), '[-\\s_./:#@]') THEN 10 ELSE 0 END"
+            for k in range(len(word))
+        )
+        parts.append(f"SELECT {key}, {cost} AS cost FROM {found} WHERE p{len(word) - 1} > 0")
+    return f"SELECT {key}, round(sum(cost), 4) AS fuzzy FROM ({' UNION ALL '.join(parts)}) GROUP BY {key} HAVING count(*) = {len(parts)}"
+
+
+@R.add("STR16", _fuzzy_sql("p_partkey", "lower(p_name)", "part", "an e"))
 def fuzzy_scores(spark, sf_dir):
     return docs.fuzzy_rank(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "an e", "p_name").select("p_partkey", F.round("fuzzy", 4).alias("fuzzy"))
 
 
-@R.add("RNK9")
+@R.add("RNK9", _fuzzy_sql("c_custkey", "lower(c_name || ' ' || c_mktsegment)", "customer", "cust mach"))
 def fuzzy_rank(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", text.search_text(F.col("c_name"), F.col("c_mktsegment"), F.lit("")).alias("search"))
     return docs.fuzzy_rank(c, "cust mach", "search").select("c_custkey", F.round("fuzzy", 4).alias("fuzzy"))
@@ -98,7 +116,11 @@ def titles(spark, sf_dir):
     return docs.map_texts(table(spark, sf_dir, "pages"), "page_id", "html", title=docs.html_title)
 
 
-@R.add("STR23")
+@R.add("STR23", r"""WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '</?[\x00-\x20]*[A-Za-z0-9:-]+(?:[^>]{0,200}>)?')) AS tag, generate_subscripts(regexp_extract_all(html, '</?[\x00-\x20]*[A-Za-z0-9:-]+(?:[^>]{0,200}>)?'), 1) AS i FROM pages),
+    m AS (SELECT page_id, i, CASE WHEN tag LIKE '</%' THEN -1 WHEN tag LIKE '%/>' OR lower(regexp_extract(tag, '^<[\x00-\x20]*([A-Za-z0-9:-]+)', 1)) IN ('area', 'base', 'br', 'col', 'embed', 'hr', 'img', 'input', 'link', 'meta', 'param', 'source', 'track', 'wbr') THEN 0 ELSE 1 END AS d FROM t),
+    r AS (SELECT page_id, i, sum(d) OVER w AS level FROM m WINDOW w AS (PARTITION BY page_id ORDER BY i)),
+    g AS (SELECT page_id, level - least(0, min(level) OVER (PARTITION BY page_id ORDER BY i)) AS depth FROM r)
+    SELECT page_id, CAST(coalesce(max(depth), 0) AS INTEGER) AS depth FROM pages LEFT JOIN g USING (page_id) GROUP BY page_id""")
 def nesting(spark, sf_dir):
     return docs.map_texts(table(spark, sf_dir, "pages"), "page_id", "html", depth=lambda h: str(docs.nesting_depth(h))).select("page_id", F.col("depth").cast("int").alias("depth"))
 
@@ -106,7 +128,7 @@ def nesting(spark, sf_dir):
 @R.add("STR24")
 def readable(spark, sf_dir):
     """Sanitised pages as plain text, in one pass and then built-in functions."""
-    m = docs.map_texts(table(spark, sf_dir, "pages"), "page_id", "html", markdown=lambda h: docs.html_to_markdown(docs.visible_html(h)))
+    m = docs.map_texts(table(spark, sf_dir, "pages"), "page_id", "html", markdown=docs.readable_markdown)
     return m.select("page_id", text.strip_invisible(text.markdown_to_text(F.col("markdown"))).alias("body")).select("page_id", F.length("body").alias("chars"), F.sha2("body", 256).alias("hash"))
 
 

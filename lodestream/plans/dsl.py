@@ -84,9 +84,11 @@ def job_filter(spark, sf_dir):
     return listing.jobs(jobs, enabled="enabled", query="A").select("p_partkey")
 
 
-@R.add("FLT16", "SELECT event_id FROM events WHERE user_id = 7 AND event_type IN ('error', 'view') AND contains(props, '1')")
+@R.add("FLT16", "SELECT event_id FROM events WHERE user_id % 5 = 2 AND event_type IN ('error', 'view') AND contains(props, '1') AND event_id % 3 <> 0")
 def run_filter(spark, sf_dir):
-    return listing.runs(table(spark, sf_dir, "events"), job="user_id", scope=7, status="event_type", statuses=["error", "view"], text="props", query="1").select("event_id")
+    delivery = F.element_at(F.array(F.lit("not-requested"), F.lit("delivered"), F.lit("not-delivered")), (F.col("event_id") % 3 + 1).cast("int"))
+    e = table(spark, sf_dir, "events").withColumns({"job": F.col("user_id") % 5, "delivery_status": delivery})
+    return listing.runs(e, job="job", scope=2, status="event_type", statuses=["error", "view"], text="props", query="1", deliveries=["delivered", "not-delivered"]).select("event_id")
 
 
 @R.add("FLT17", "SELECT p_partkey FROM part WHERE p_size % 3 = 1 AND p_partkey % 2 = 0")

@@ -116,9 +116,22 @@ def char_budget(spark, sf_dir):
     return ops.within_budget(d, 20_000, [F.col("doc_id")], by="source").select("source", "doc_id", F.length("snippet").cast("long").alias("chars"))
 
 
-@R.add("RNK2")
+#: The ten longest documents of each source, their relevance and word sets, and the likeness of every two.
+_CANDIDATES = """d AS (SELECT source, doc_id, length(text)::DOUBLE AS score, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w, row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) AS o FROM documents),
+    c AS (SELECT *, CASE WHEN max(score) OVER q = min(score) OVER q THEN 1 ELSE (score - min(score) OVER q) / (max(score) OVER q - min(score) OVER q) END AS rel FROM d WHERE o <= 10 WINDOW q AS (PARTITION BY source)),
+    p AS (SELECT a.source, a.doc_id AS i, b.doc_id AS j, CASE WHEN len(a.w) + len(b.w) = 0 THEN 1 ELSE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE END AS alike FROM c a JOIN c b ON a.source = b.source AND a.doc_id <> b.doc_id)"""
+
+
+@R.add("RNK2", f"""WITH RECURSIVE {_CANDIDATES},
+    s AS (SELECT source, [doc_id] AS chosen, 1 AS place FROM c WHERE o = 1 UNION ALL
+      SELECT source, list_append(chosen, best), place + 1 FROM (
+        SELECT source, chosen, place, arg_max(doc_id, (value, score, -o)) AS best FROM (
+          SELECT s.source, s.chosen, s.place, c.doc_id, c.score, c.o, 0.7::DOUBLE * c.rel - (1 - 0.7::DOUBLE) * greatest(0, max(p.alike)) AS value
+          FROM s JOIN c ON c.source = s.source AND NOT list_contains(s.chosen, c.doc_id) JOIN p ON p.source = s.source AND p.i = c.doc_id AND list_contains(s.chosen, p.j)
+          GROUP BY s.source, s.chosen, s.place, c.doc_id, c.score, c.o, c.rel) GROUP BY source, chosen, place))
+    SELECT s.source AS query_id, doc_id AS id, score, CAST(place AS INTEGER) AS place FROM s JOIN c ON c.source = s.source AND c.doc_id = chosen[place]""")
 def diversified(spark, sf_dir):
-    """Marginal relevance of each source's ten longest documents as candidates; sequential, so checked by tests."""
+    """Marginal relevance of each source's ten longest documents as candidates."""
     from lodestream.operators.rollups import top_per_group
 
     d = table(spark, sf_dir, "documents").select(F.col("source").alias("query_id"), F.col("doc_id").alias("id"), F.length("text").cast("double").alias("score"), F.col("text").alias("snippet"))
@@ -126,7 +139,17 @@ def diversified(spark, sf_dir):
     return ops.diversify(few, 0.7).select("query_id", "id", F.round("score", 4).alias("score"), "place")
 
 
-QUERIES["JN9"] = diversified
+@R.add("JN9", f"WITH {_CANDIDATES}, k AS (SELECT p.*, row_number() OVER (PARTITION BY p.source, i ORDER BY alike DESC, c.o) AS n FROM p JOIN c ON c.source = p.source AND c.doc_id = p.j) SELECT source AS query_id, i AS id, j AS nearest, round(alike, 6) AS alike FROM k WHERE n = 1")
+def nearest_candidates(spark, sf_dir):
+    """For each candidate of a source the one most like it: the product of a few rows a source with themselves, and a maximum."""
+    from lodestream.operators.rollups import top_per_group
+
+    d = table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("id"), F.length("text").alias("score"), text.token_set(F.col("text")).alias("words"))
+    few = top_per_group(d, "source", [F.desc("score"), F.asc("id")], 10, "o")
+    other = few.select("source", F.col("id").alias("nearest"), F.col("words").alias("theirs"), (-F.col("o")).alias("o"))
+    pairs = few.drop("o").join(other, "source").filter(F.col("id") != F.col("nearest"))
+    best = F.max(F.struct(text.jaccard(F.col("words"), F.col("theirs")).alias("alike"), "o", "nearest"))
+    return pairs.groupBy(F.col("source").alias("query_id"), "id").agg(best.alias("b")).select("query_id", "id", "b.nearest", F.round("b.alike", 6).alias("alike"))
 
 
 @R.add("EXT1")

@@ -2,24 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestream.operators import documents as docs
 from lodestream.plans.registry import Registry
-from lodestream.session import table
+from lodestream.session import scratch, table
 from lodestream.sources import readers, sinks
 
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared one."""
-    return f"{spark.conf.get('spark.checkpoint.dir', '/tmp/lodestream-checkpoints')}/lodestream/{uuid.uuid4().hex}"
-
-
 def transcript_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as transcript lines: text or blocks as content, every fifth line of another type, some broken."""
     c = table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") + 1).alias("line_no"), "role", "text")
@@ -120,27 +113,30 @@ def markdown_scan(spark, sf_dir):
     return found.select(F.regexp_extract("path", "((?:memory/[^/]+|MEMORY)\\.md)$", 1).alias("path"), F.sha2("content", 256).alias("hash"))
 
 
-@R.add("SRC2", "SELECT count(*) AS files FROM nation")
+@R.add("SRC2", "SELECT n_nationkey, strlen(n_name) + 1 AS size, sha256(n_name || chr(10)) AS hash FROM nation")
 def file_fingerprints(spark, sf_dir):
     at = scratch(spark)
     table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("k"), "n_name").repartition(25, "k").write.partitionBy("k").text(at)
-    return readers.fingerprints(spark, at, glob="*.txt").filter("size > 0 AND length(hash) = 64").agg(F.count(F.lit(1)).alias("files"))
+    return readers.fingerprints(spark, at, glob="*.txt").select(F.regexp_extract("path", "/k=([0-9]+)/", 1).cast("int").alias("n_nationkey"), "size", "hash")
 
 
-@R.add("SRC3", "SELECT count(*) AS files FROM region")
+@R.add("SRC3", "SELECT r_regionkey, strlen(r_name) AS size FROM region WHERE r_regionkey <> 2")
 def listed_files(spark, sf_dir):
     at = scratch(spark)
-    for r in table(spark, sf_dir, "region").select("r_regionkey").collect():
-        sinks.JsonStore(spark, f"{at}/{r[0]}.jsonl").write("{}")
-    return readers.files_of(spark, at).agg(F.count(F.lit(1)).alias("files"))
+    for r in table(spark, sf_dir, "region").select("r_regionkey", "r_name").collect():
+        sinks.JsonStore(spark, f"{at}/{r[0]}.{'jsonl' if r[0] != 2 else 'txt'}").write(r[1])
+    return readers.files_of(spark, at).select(F.regexp_extract("path", "([0-9]+)[.]jsonl$", 1).cast("int").alias("r_regionkey"), "size")
 
 
-@R.add("SRC7", "SELECT 'gateway-2024-01-31.log' AS name")
+@R.add("SRC7", "SELECT 'gateway-2024-01-' || (10 + max(r_regionkey)) || '.log' AS name, max_by(r_name, r_regionkey) AS line FROM region")
 def newest_log(spark, sf_dir):
+    """Among a log for each region's day and another file, the newest log."""
     at = scratch(spark)
-    for name in ("gateway-2024-01-30.log", "other.log", "gateway-2024-01-31.log"):
-        sinks.JsonStore(spark, f"{at}/{name}").write(name)
-    return readers.rolling_log(spark, at).select(F.regexp_extract("path", "[^/]+$", 0).alias("name"))
+    sinks.JsonStore(spark, f"{at}/other.log").write("z")
+    for r in table(spark, sf_dir, "region").select("r_regionkey", "r_name").collect():
+        sinks.JsonStore(spark, f"{at}/gateway-2024-01-{10 + r[0]}.log").write(r[1])
+    found = readers.rolling_log(spark, at).first()
+    return spark.read.text(found["path"]).select(F.lit(found["path"].rpartition("/")[2]).alias("name"), F.col("value").alias("line"))
 
 
 @R.add("SNK4", "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'new' ELSE n_name END AS n_name FROM nation UNION ALL SELECT 100, 'added'")
@@ -167,20 +163,26 @@ def atomic_reindex(spark, sf_dir):
     return store.read()
 
 
-@R.add("SNK6", "SELECT true AS first, false AS again, true AS changed")
+@R.add("SNK6", "SELECT r_regionkey, true AS first, false AS again, true AS changed, '{\"name\": \"' || r_name || '\"}' AS kept, '{\"key\": ' || r_regionkey || '}' AS now FROM region")
 def json_store(spark, sf_dir):
-    store = sinks.JsonStore(spark, f"{scratch(spark)}/store.json")
-    done = (store.write('{"a": 1}'), store.write('{"a": 1}'), store.write('{"a": 2}'))
-    return spark.createDataFrame([done], "first boolean, again boolean, changed boolean")
+    """Each region's store written, written again and changed; what the file holds then, and what its backup does."""
+    at, done = scratch(spark), []
+    for r in table(spark, sf_dir, "region").select("r_regionkey", "r_name").collect():
+        store, old, new = sinks.JsonStore(spark, f"{at}/{r[0]}.json"), f'{{"name": "{r[1]}"}}', f'{{"key": {r[0]}}}'
+        wrote = store.write(old), store.write(old), store.write(new)
+        done.append((r[0], *wrote, sinks.JsonStore(spark, f"{at}/{r[0]}.json.bak").read(), store.read()))
+    return spark.createDataFrame(done, "r_regionkey int, first boolean, again boolean, changed boolean, kept string, now string")
 
 
-@R.add("SNK7", "SELECT CAST(3 AS BIGINT) AS backups")
+@R.add("SNK7", "SELECT CAST(r_regionkey + 8 AS BIGINT) AS stamp, 2 + length(r_name) AS bytes FROM region ORDER BY r_regionkey DESC LIMIT 3")
 def rotation(spark, sf_dir):
+    """A store of each region's name rotated again and again; the backups of the largest stamps stay."""
     at = scratch(spark)
-    for i in range(5):
-        sinks.JsonStore(spark, f"{at}/s.json").write("x" * (100 + i))
-        sinks.rotate(spark, f"{at}/s.json", 50, 3, str(i))
-    return spark.read.format("binaryFile").option("pathGlobFilter", "s.json.bak.*").load(at).agg(F.count(F.lit(1)).alias("backups"))
+    for r in table(spark, sf_dir, "region").select("r_regionkey", "r_name").orderBy("r_regionkey").collect():
+        sinks.JsonStore(spark, f"{at}/s.json").write(f"[{r[1]}]")
+        sinks.rotate(spark, f"{at}/s.json", 2, 3, str(r[0] + 8))
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "s.json.bak.*").load(at)
+    return found.select(F.regexp_extract("path", "[0-9]+$", 0).cast("long").alias("stamp"), F.col("length").alias("bytes"))
 
 
 # --- records -------------------------------------------------------------------------------------
@@ -205,10 +207,10 @@ def batch_output(spark, sf_dir):
     return out.select("custom_id", "error", F.when(F.col("embedding").isNotNull(), F.size("embedding").cast("long")).alias("size"))
 
 
-@R.add("PRJ7", """SELECT conv_id, turn, length(t) > 60 AS truncated, true AS redacted, CASE WHEN length(t) <= 60 THEN t ELSE substr(t, 1, 60) || chr(10) || '…(truncated)…' END AS body FROM (SELECT conv_id, turn, 'API_KEY=*** ' || text AS t FROM conversations)""")
+@R.add("PRJ7", """SELECT conv_id, turn, length(t) > 60 AS truncated, turn % 2 = 0 AS redacted, CASE WHEN length(t) <= 60 THEN t ELSE substr(t, 1, 60) || chr(10) || '…(truncated)…' END AS body FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'API_KEY=*** ' ELSE 'API KEY ' END || regexp_replace(text, '[^a-zA-Z ]', '', 'g') AS t FROM conversations)""")
 def history_rows(spark, sf_dir):
     """Texts redacted, cut, and flagged."""
-    raw = F.concat(F.lit("API_KEY=short "), "text")
+    raw = F.concat(F.when(F.col("turn") % 2 == 0, "API_KEY=short ").otherwise("API KEY "), F.regexp_replace("text", "[^a-zA-Z ]", ""))
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", raw.alias("raw"), docs.redacted(raw).alias("t"))
     long = F.length("t") > 60
     return c.select("conv_id", "turn", long.alias("truncated"), (F.col("raw") != F.col("t")).alias("redacted"), F.when(long, F.concat(F.substring("t", 1, 60), F.lit("\n…(truncated)…"))).otherwise(F.col("t")).alias("body"))

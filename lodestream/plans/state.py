@@ -192,9 +192,11 @@ def streaks(spark, sf_dir):
     return windows.failure_streak(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "error").select("event_id", "streak")
 
 
-@R.add("WIN10")
+@R.add("WIN10", _STREAK.replace("WITH i", "WITH RECURSIVE i", 1) + """, r AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, streak, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM s WHERE streak >= 2),
+    a AS (SELECT user_id, n, ms, streak, ms AS last, true AS fired FROM r WHERE n = 1 UNION ALL
+      SELECT r.user_id, r.n, r.ms, r.streak, CASE WHEN r.ms - last >= 3600000 THEN r.ms ELSE last END, r.ms - last >= 3600000 FROM a JOIN r ON r.user_id = a.user_id AND r.n = a.n + 1)
+    SELECT user_id, ms, streak FROM a WHERE fired""")
 def alerts(spark, sf_dir):
-    """Sequential, so checked by tests."""
     e = events(spark, sf_dir).withColumn("failed", F.col("event_type") == "error").withColumn("place", F.concat_ws("-", F.lpad(F.col("ms").cast("string"), 16, "0"), F.lpad(F.col("event_id").cast("string"), 12, "0")))
     return windows.failure_alerts(e, "user_id", "place", "ms", "failed", 2, 3_600_000).select("user_id", "ms", "streak")
 

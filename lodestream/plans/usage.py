@@ -217,13 +217,16 @@ def highest_window(spark, sf_dir):
 @R.add("AGG21", f"{_FACTS} SELECT session, median(duration) AS median, list_sort(list(duration))[least(count(*), CAST(floor(count(*) * 0.5::DOUBLE) AS BIGINT) + 1)] AS p50, {_P95} AS p95 FROM f GROUP BY session")
 def medians(spark, sf_dir):
     facts = message_facts(spark, sf_dir)
-    rank = lambda share, name: rollups.nearest_rank_at_scale(facts, ["session"], "duration", share).withColumnRenamed("percentile", name)
+    rank = lambda share, name: rollups.nearest_rank(facts, ["session"], "duration", share).withColumnRenamed("percentile", name)
     return facts.groupBy("session").agg(F.median("duration").alias("median")).join(rank(0.5, "p50"), "session").join(rank(0.95, "p95"), "session")
 
 
-@R.add("AGG22", f"{_FACTS} SELECT model, CAST(channel AS VARCHAR) AS code, count(*) AS n, round(avg(duration), 4) AS avg, min(duration) AS low, max(duration) AS high FROM f GROUP BY model, channel")
+@R.add("AGG22", f"{_FACTS} SELECT model, CAST(channel AS VARCHAR) AS code, count(*) AS n, round(avg(duration), 4) AS avg, list_sort(list(duration))[least(count(*), CAST(floor(count(*) * 0.5::DOUBLE) AS BIGINT) + 1)] AS p50, {_P95} AS p95, min(duration) AS low, max(duration) AS high FROM f GROUP BY model, channel")
 def samples(spark, sf_dir):
-    return message_facts(spark, sf_dir).groupBy("model", F.col("channel").cast("string").alias("code")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("duration"), 4).alias("avg"), F.min("duration").alias("low"), F.max("duration").alias("high"))
+    facts, by = message_facts(spark, sf_dir).withColumn("code", F.col("channel").cast("string")), ["model", "code"]
+    rank = lambda share, name: rollups.nearest_rank(facts, by, "duration", share).withColumnRenamed("percentile", name)
+    basic = facts.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("duration"), 4).alias("avg"), F.min("duration").alias("low"), F.max("duration").alias("high"))
+    return basic.join(rank(0.5, "p50"), by).join(rank(0.95, "p95"), by)
 
 
 @R.add("AGG23", "SELECT event_id, value, round((SELECT sum(value) FROM events), 2) AS total FROM events ORDER BY value DESC, event_id LIMIT 20")
