@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-#: Every window of 400 bytes, as hexadecimal digits; those that occur twice, and the bytes that they cover.
-SUFFIX_DEDUP = """
+#: Every window of 400 bytes, as hexadecimal digits; those that occur twice, and the bytes that they cover. Then every window of 48 words.
+SUFFIX_DEDUP = r"""
 WITH b AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents),
   n AS (SELECT *, length(h) // 2 AS n_bytes FROM b),
   w AS (SELECT r, unnest(range(0, n_bytes - 399)) AS i, hash(substr(h, 2 * unnest(range(0, n_bytes - 399)) + 1, 800)) AS k FROM n WHERE n_bytes >= 400),
@@ -11,10 +11,19 @@ WITH b AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, '
   g AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 400 THEN 0 ELSE 1 END AS new FROM d),
   s AS (SELECT r, min(i) AS a, max(i) + 400 AS e FROM (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS s FROM g) GROUP BY r, s),
   c AS (SELECT r, a, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY a), 0) AS f FROM s),
-  k AS (SELECT c.r, sum(e - a)::BIGINT AS removed, count(*) AS spans, string_agg(substr(h, 2 * f + 1, 2 * (a - f)), '' ORDER BY a) AS kept, max(e) AS e FROM c JOIN n USING (r) GROUP BY c.r)
+  k AS (SELECT c.r, sum(e - a)::BIGINT AS removed, count(*) AS spans, string_agg(substr(h, 2 * f + 1, 2 * (a - f)), '' ORDER BY a) AS kept, max(e) AS e FROM c JOIN n USING (r) GROUP BY c.r),
+  pt AS (SELECT r, h, regexp_extract_all(decode(unhex(h)), '[^\x20\x09-\x0D]+') AS ws FROM n),
+  pe AS (SELECT r, len(ws) AS m, unnest(range(0, len(ws))) AS i, unnest(ws) AS w FROM pt),
+  pw AS (SELECT r, m, i, hash(list(w) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 47 FOLLOWING)) AS k FROM pe),
+  pk AS (SELECT r, i, k FROM pw WHERE i <= m - 48),
+  pd AS (SELECT r, i FROM pk WHERE k IN (SELECT k FROM pk GROUP BY k HAVING count(*) > 1)),
+  pg AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 48 THEN 0 ELSE 1 END AS new FROM pd),
+  ps AS (SELECT r, max(i) + 48 - min(i) AS words FROM (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS s FROM pg) GROUP BY r, s),
+  pp AS (SELECT r, count(*) AS passages, sum(words)::BIGINT AS words FROM ps GROUP BY r)
 SELECT doc_id, n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
-  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(e, 0) + 1))) AS kept_sha256
-FROM n LEFT JOIN k USING (r)
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(e, 0) + 1))) AS kept_sha256,
+  coalesce(passages, 0) AS n_passages, coalesce(pp.words, 0) AS n_passage_words
+FROM n LEFT JOIN k USING (r) LEFT JOIN pp USING (r)
 """
 
 EMBEDDINGS = """
