@@ -6,7 +6,6 @@ import atexit
 import contextlib
 import ctypes
 import gc
-import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -14,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestream.session import ship
+from lodestream.session import scratch, ship
 
 #: Rows of an Arrow batch that goes to a Python worker; long texts make a batch large, so it is kept low.
 ARROW_ROWS = 500
@@ -24,15 +23,6 @@ ROW_GROUP_BYTES = 8 << 20
 SLICE_BYTES = 1 << 20
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a local one is set only where it is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "/tmp/lodestream-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 #: Folders of this process's stored() tables, which go when it ends.
 _made: dict[str, SparkSession] = {}
 
@@ -53,12 +43,18 @@ def _delete(spark: SparkSession, path: str) -> None:
 def stored(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: later steps neither recompute it nor depend on one executor."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/lodestream/{uuid.uuid4().hex}"
+    path = scratch(spark)
     _made[path] = spark
     df.write.option("parquet.block.size", str(ROW_GROUP_BYTES)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Files of shuffles whose plans nobody holds any more go now, not when the driver next happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a stored() table that nothing reads any more."""
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
@@ -115,9 +111,9 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that a piece holds one row or at most ``limit`` bytes of the column."""
-    begin("texts")
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES, owner: str = "texts") -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that a piece holds one row or at most ``limit`` bytes of the column; owner is that of what the worker is to keep."""
+    begin(owner)
     for batch in batches:
         _, at = utf8(batch.column(batch.schema.get_field_index(column)))
         start = 0
