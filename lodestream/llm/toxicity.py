@@ -1,22 +1,26 @@
 """Toxicity by weighted finite-state patterns over clauses.
 
-Words become classes: insult, threat, target, negation, report, or other. Small transducers read a clause's classes: one marks
-heads that a negation governs, one those in reported speech, one those with a target nearby. They are composed into a single
-deterministic machine, built on the driver, that turns a clause into its matches; each kind of match has a weight, and a text
-is scored by all its matched clauses, so a word alone that no clause makes a match counts for nothing.
+Words become classes: insult, threat, target, intent, negation, report, or other. Small transducers rewrite the heads of a clause, which are its insults and threats. Two read the clause from its end:
+one aims heads at a target that follows, one marks those that a later report quotes. Five read it from its start: one chains insults that follow each other, one keeps only threats that an
+intent or the clause's beginning introduces, and one each marks heads that a negation governs, that an earlier report quotes, or that follow a target. The machines of each direction are composed into
+one, built on the driver. Each kind of match has a weight, and a text is scored by all its matched clauses: a threat without intent and target is no match, and a lone insult, before any label is
+seen, is too weak a one to be called toxic.
 
 The lexicon is a short hand-written one and the stems that the labelled rows show to be insults; the weights are a logistic
 regression with a prior over match counts. Both are learned from at most SAMPLE_ROWS labelled rows, in the order of a hash of their ids.
 
 Cases: null and empty texts have no match and get the score of none. Every text is read whole. Several labels of one id count as
-toxic if one is. With no labelled row the prior weights and the hand-written words remain. An empty table gives an empty result.
+toxic if one is. With no labelled row the prior weights and the hand-written words remain. Repeated rows get equal scores. Extra columns are ignored by ``judge`` and pass through ``clean``.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 import re
+import uuid
 from collections import Counter, deque
 from collections.abc import Iterator
 
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lodestream.llm.langid import fold
-from lodestream.llm.shared import slices, small_batches, stored
+from lodestream.llm.shared import held, slices, small_batches, stored
 
 #: Labelled rows that the classifier is fitted on, and stems it may learn.
 SAMPLE_ROWS, STEMS = 20_000, 5_000
@@ -39,18 +43,24 @@ STEM_LETTERS, END = (4, 5, 6, 7, 8), "$"
 #: Hand-written words (fixed values).
 INSULTS = "idiot moron loser scum trash worthless pathetic disgusting stupid clown dumb fool jerk vermin filth imbecile dummkopf trottel abschaum versager wertlos widerlich dumm connard ordure minable débile abruti imbécil basura escoria inútil estúpido patético".split()
 THREATS = "kill hurt destroy murder strangle stab töten umbringen vernichten tuer détruire matar destruir".split()
-TARGETS = "you your you're he she they them this these that those u du dich dein ihr euch sie er tu te ton toi vous il elle ils tú te tu usted ustedes él ella ellos".split()
-NEGATIONS = "not no never isn't aren't wasn't don't doesn't nicht kein keine nie niemals pas jamais aucun nunca jamás ningún tampoco".split()
+TARGETS = "you your you're yourself he him she her they them u du dich dein ihr euch sie er tu te ton toi vous il elle ils tú te tu usted ustedes él ella ellos".split()
+#: Words that announce a deed (fixed values).
+INTENTS = "will i'll we'll they'll gonna going want wants shall must should werde werden wird wirst vais vas vont voy va van quiero".split()
+NEGATIONS = "not no never nobody none neither nor without isn't aren't wasn't don't doesn't nicht kein keine nie niemals pas jamais aucun nunca jamás ningún tampoco".split()
 REPORTS = "said says say saying called calls wrote writes quoted quote reported claimed according sagte sagt schrieb nannte laut dit disait écrit selon dijo dice escribió según llamó".split()
 #: Weights before any label is seen, and how far a label's evidence may move them.
-PRIOR = {"plain": 4.0, "targeted": 5.0, "negated": 0.5, "reported": 0.5, "threat": 5.0}
+PRIOR = {"plain": 2.0, "chained": 5.0, "targeted": 5.0, "negated": 0.5, "reported": 0.5, "threat": 5.0}
 PRIOR_BIAS, PRIOR_SPREAD = -4.0, 3.0
 KINDS = tuple(PRIOR)
-#: Words within which a negation or a target reaches a head.
-REACH = 3
+#: Words within which a negation, an intent or a target reaches a head, and within which insults are a chain.
+REACH, CHAIN = 3, 2
 
-#: Classes of words; a head may be marked n (negated), r (reported) or t (targeted) by the machines.
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = "o", "I", "T", "t", "n", "r"
+#: Classes of words.
+OTHER, INSULT, THREAT, TARGET, INTENT, NEGATION, REPORT = "o", "I", "T", "t", "w", "n", "r"
+#: What the machines make of heads: chained and targeted insults, aimed threats, and heads that are negated or reported.
+CHAINED, TARGETED, AIMED, NEGATED, REPORTED = "C", "P", "K", "N", "R"
+WORDS = (OTHER, INSULT, THREAT, TARGET, INTENT, NEGATION, REPORT)
+SYMBOLS = (*WORDS, CHAINED, TARGETED, AIMED, NEGATED, REPORTED)
 
 
 class Transducer:
@@ -67,12 +77,12 @@ class Transducer:
         return out
 
 
-def compose(first: Transducer, second: Transducer, alphabet: set[str]) -> Transducer:
+def compose(first: Transducer, second: Transducer) -> Transducer:
     """One machine that acts as second after first; only states that can be reached are made."""
     ids, moves, todo = {(0, 0): 0}, {}, deque([(0, 0)])
     while todo:
         a, b = todo.popleft()
-        for x in alphabet:
+        for x in SYMBOLS:
             p, y = first.moves.get((a, x), (a, x))
             q, z = second.moves.get((b, y), (b, y))
             if (p, q) not in ids:
@@ -82,28 +92,57 @@ def compose(first: Transducer, second: Transducer, alphabet: set[str]) -> Transd
     return Transducer(moves, len(ids))
 
 
-def _within(trigger: str, marks: dict[str, str], symbols: set[str], reach: int | None) -> Transducer:
-    """After ``trigger``, for ``reach`` words or to the clause's end, heads are rewritten by ``marks``."""
+def _after(triggers: str, marks: dict[str, str], reach: int | None) -> Transducer:
+    """After a trigger, for ``reach`` words or to the end, symbols are rewritten by ``marks``."""
     last = 1 if reach is None else reach
     moves = {}
-    for state, x in itertools.product(range(last + 1), symbols):
-        after = last if x == trigger else state if reach is None else max(0, state - 1)
+    for state, x in itertools.product(range(last + 1), SYMBOLS):
+        after = last if x in triggers else state if reach is None else max(0, state - 1)
         moves[state, x] = after, marks.get(x, x) if state else x
     return Transducer(moves, last + 1)
 
 
-def grammar() -> Transducer:
-    """Negation, then reported speech, then targets, composed; heads leave it as the initials of their kinds."""
-    words = {OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT}
-    heads = {"N", "R", "P"}
-    symbols = words | heads
-    negated = _within(NEGATION, {INSULT: "N", THREAT: "N"}, symbols, REACH)
-    reported = _within(REPORT, {INSULT: "R", THREAT: "R"}, symbols, None)
-    targeted = _within(TARGET, {INSULT: "P"}, symbols, REACH)
-    return compose(compose(negated, reported, words), targeted, words)
+def _introduced() -> Transducer:
+    """Threats stay where the clause begins, or within REACH words of an intent; elsewhere they are words like others. State REACH + 1 is the clause's beginning."""
+    moves = {}
+    for state, x in itertools.product(range(REACH + 2), SYMBOLS):
+        after = REACH if x == INTENT else max(0, min(state, REACH) - 1) if state <= REACH else 0
+        moves[state, x] = after, x if state or x not in (THREAT, AIMED) else OTHER
+    begin = REACH + 1
+    swap = {0: begin, begin: 0}  # a machine begins in state 0
+    return Transducer({(swap.get(s, s), x): (swap.get(t, t), y) for (s, x), (t, y) in moves.items()}, REACH + 2)
+
+
+HEADS = INSULT + CHAINED + TARGETED + THREAT + AIMED
+
+
+def backward() -> list[Transducer]:
+    """The machines that read a clause from its end."""
+    return [_after(TARGET, {INSULT: TARGETED, THREAT: AIMED}, REACH), _after(REPORT, dict.fromkeys(HEADS, REPORTED), None)]
+
+
+def forward() -> list[Transducer]:
+    """The machines that read a clause from its start."""
+    return [
+        _after(INSULT + TARGETED, {INSULT: CHAINED}, CHAIN),
+        _introduced(),
+        _after(NEGATION, dict.fromkeys(HEADS, NEGATED), REACH),
+        _after(REPORT, dict.fromkeys(HEADS, REPORTED), None),
+        _after(TARGET, {INSULT: TARGETED, CHAINED: TARGETED, THREAT: AIMED}, REACH),
+    ]
+
+
+class Grammar:
+    """A clause's classes to its matches: one machine for each direction."""
+
+    def __init__(self) -> None:
+        self.back, self.ahead = functools.reduce(compose, backward()), functools.reduce(compose, forward())
+
+    def run(self, classes: list[str]) -> list[str]:
+        return self.ahead.run(self.back.run(classes[::-1])[::-1])
 
 
-KIND_OF = {"N": "negated", "R": "reported", "P": "targeted", INSULT: "plain", THREAT: "threat"}
+KIND_OF = {NEGATED: "negated", REPORTED: "reported", TARGETED: "targeted", CHAINED: "chained", INSULT: "plain", AIMED: "threat"}
 CLAUSE_ENDS = ".!?;:\n\r"
 _CLAUSE = re.compile(f"[{CLAUSE_ENDS}]")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
@@ -115,8 +154,9 @@ class Matcher:
     def __init__(self, stems: list[str]) -> None:
         import ahocorasick
 
-        self.machine = grammar()
-        self.kind = {w: c for c, ws in ((OTHER, ()), (REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS), (THREAT, THREATS), (INSULT, INSULTS)) for w in ws}
+        self.machine = Grammar()
+        self.kind = {w: c for c, ws in ((INTENT, INTENTS), (REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS), (THREAT, THREATS), (INSULT, INSULTS)) for w in ws}
+        self.kind |= {w + "s": INSULT for w in INSULTS if w + "s" not in self.kind}
         self.kind |= {s[:-1]: INSULT for s in stems if s.endswith(END)}
         self.stems = {s for s in stems if not s.endswith(END)}
         self.finder = ahocorasick.Automaton()
@@ -221,11 +261,11 @@ def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _with_matcher(docs: DataFrame, stems: list[str], made, schema: str, carried: list[str]) -> DataFrame:
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(stems)
+    shared, owner = docs.sparkSession.sparkContext.broadcast(stems), f"toxicity {uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(shared.value)
-        for piece in slices(batches, "text"):
+        matcher = held(owner, "matcher", lambda: Matcher(shared.value))
+        for piece in slices(batches, "text", owner=owner):
             found = [matcher.matches(t) if t else Counter() for t in piece.column(piece.schema.get_field_index("text")).to_pylist()]
             yield pa.RecordBatch.from_arrays([piece.column(piece.schema.get_field_index(c)) for c in carried] + made(found), names=[c.split()[0] for c in schema.split(", ")])
 
@@ -262,11 +302,11 @@ def clean(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     small_batches(docs.sparkSession)
     stems, w = learn(docs, labels)
     bias, weights = float(w[0]), [float(x) for x in w[1:]]
-    shared = docs.sparkSession.sparkContext.broadcast(stems)
+    shared, owner = docs.sparkSession.sparkContext.broadcast(stems), f"toxicity {uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(shared.value)
-        for piece in slices(batches, text):
+        matcher = held(owner, "matcher", lambda: Matcher(shared.value))
+        for piece in slices(batches, text, owner=owner):
             texts = piece.column(piece.schema.get_field_index(text)).to_pylist()
             margin = [bias + sum(a * b for a, b in zip(weights, features(matcher.matches(t)), strict=True)) if t else bias for t in texts]
             yield piece.filter(pa.array([m < 0 for m in margin]))
@@ -276,5 +316,5 @@ def clean(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Learns from the labelled rows outside the fold and scores every row."""
-    held = fold(F.col("doc_id"), 5) == 0
-    return score(docs, learn(docs, labels)).select("doc_id", held.alias("held_out"), "score", "predicted", "n_matches")
+    held_out = fold(F.col("doc_id"), 5) == 0
+    return score(docs, learn(docs, labels)).select("doc_id", held_out.alias("held_out"), "score", "predicted", "n_matches")
