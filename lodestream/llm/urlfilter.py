@@ -2,10 +2,12 @@
 
 The trees are trained by Spark's own gradient boosting on labelled URLs and then written out as one SQL expression, so that
 scoring is a projection inside generated code. Features: lengths, depth, digit and vowel ratios, entropy, hyphens, parameters, and
-smoothed label statistics of the host's suffix and of the file suffix.
+smoothed label statistics of the host's suffix and of the file suffix. These are counts over all labelled URLs; a training row gets those of the
+other FOLDS, so that no label tells on itself.
 
-Labels: a frame (url, label) of any origin. ``weak_labels`` makes one where there is none: URLs whose host has a word of BAD_WORDS are
-bad, other URLs are good. At most TRAINING_ROWS of each label are used, in the order of a hash of the URL.
+Labels: a frame (url, label) of any origin. ``weak_labels`` makes one where there is none, by a rule: URLs whose host has a word of BAD_WORDS are
+bad, other URLs are good. The trees are fitted on at most TRAINING_ROWS URLs of each label, in the order of a hash of the URL, weighted back to the labels' shares of all
+labelled URLs, so that the share of bad URLs in the sample moves no verdict.
 
 Cases: a null URL or one without ``://`` has an empty host and path, and no rule fits it. With one label only, or none, everything is
 allowed that no rule blocks. Repeated URLs get equal verdicts; extra columns are ignored; an empty table gives an empty result.
@@ -17,8 +19,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 #: URLs of each label that the trees are trained on.
 TRAINING_ROWS = 5_000
-#: Suffixes with statistics of their own, the most frequent ones of the training rows.
-SUFFIXES = 200
+#: Suffixes with statistics of their own, the most frequent ones, and parts of the labelled URLs that are counted apart.
+SUFFIXES, FOLDS = 200, 5
 TREES, DEPTH, SEED = 20, 3, 7
 #: Host words of weakly labelled bad URLs (fixed values).
 BAD_WORDS = "casino casinos bet bets betting poker pills pill viagra pharmacy adult xxx porn sex escort spam farm warez crack keygen torrent malware phish loan loans payday replica cheap free win prize".split()
@@ -51,12 +53,52 @@ def _suffixes(df: DataFrame) -> DataFrame:
     return df.withColumns({"suffix": F.element_at(F.split("host", "\\."), -1), "file": F.lower(file)})
 
 
-def features(df: DataFrame, rates: dict[str, dict[str, float]]) -> DataFrame:
-    """df (url, host, path) with FEATURES; rates has the bad share of each host suffix and each file suffix, '' for any other."""
+#: Bad and all labelled URLs of each suffix in each fold: (suffix, fold) -> (bad, all).
+Counts = dict[tuple[str, int], tuple[int, int]]
+
+
+def fold(url: Column) -> Column:
+    return F.pmod(F.xxhash64(url, F.lit(1)), F.lit(FOLDS)).cast("int")
+
+
+def suffix_counts(labelled: DataFrame) -> dict[str, Counts]:
+    """For host and file suffixes the counts of all labelled URLs (url, label), of SUFFIXES suffixes at most."""
+    host, path = parts(F.col("url"))
+    rows = _suffixes(labelled.withColumns({"host": host, "path": path})).withColumn("fold", fold(F.col("url")))
+    found = {}
+    for kind in ("suffix", "file"):
+        counted = rows.groupBy(kind, "fold").agg(F.sum("label").alias("bad"), F.count(F.lit(1)).alias("n"))
+        most = counted.groupBy(kind).agg(F.sum("n").alias("all")).orderBy(F.desc("all"), kind).limit(SUFFIXES)  # SUFFIXES rows at most
+        found[kind] = {(r[kind], r["fold"]): (r["bad"], r["n"]) for r in counted.join(F.broadcast(most), kind).collect()}
+    return found
+
+
+def rates(counts: Counts, without: int | None = None) -> dict[str, float]:
+    """Smoothed bad share of every suffix, and of any other under '*', from all folds but one."""
+    total: dict[str, list[int]] = {}
+    for (name, k), (bad, n) in counts.items():
+        own = total.setdefault(name, [0, 0])
+        if k != without:
+            own[0] += bad
+            own[1] += n
+    every = [sum(v[0] for v in total.values()), sum(v[1] for v in total.values())]
+    prior = (every[0] + 1) / (every[1] + 2)
+    return {name: (bad + 2 * prior) / (n + 2) for name, (bad, n) in total.items()} | {"*": prior}
+
+
+def _rate(name: str, counts: Counts, training: bool) -> Column:
+    """A row's rate; in training that of the folds the row isn't in."""
+    tables = [rates(counts, k) for k in range(FOLDS)] if training else [rates(counts)]
+    literal = lambda t: F.create_map(*[F.lit(x) for kv in sorted(t.items()) for x in kv])
+    of = F.element_at(F.array(*map(literal, tables)), fold(F.col("url")) + 1 if training else F.lit(1))
+    return F.coalesce(F.element_at(of, F.col(name)), F.element_at(of, F.lit("*")))
+
+
+def features(df: DataFrame, counts: dict[str, Counts], training: bool = False) -> DataFrame:
+    """df (url, host, path) with FEATURES."""
     text = F.coalesce("url", F.lit(""))
     count = lambda c, pattern: F.regexp_count(c, F.lit(pattern))
     ratio = lambda n, of: F.when(of > 0, n / of).otherwise(0.0)
-    rate = lambda c, table: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.col(c)), F.lit(table[""]))
     base = _suffixes(df).withColumns({"_text": text, "_letters": F.array_sort(F.split(F.col("host"), "")), "_labels": F.split("host", "\\.")})
     # entropy of the host's characters: runs of the sorted letters
     base = base.withColumn("_runs", F.expr("transform(array_distinct(_letters), c -> size(filter(_letters, x -> x = c)) / size(_letters))"))
@@ -75,8 +117,8 @@ def features(df: DataFrame, rates: dict[str, dict[str, float]]) -> DataFrame:
         "host_digits": count("host", "[0-9]"),
         "parameters": F.when(query != "", count(query, "&") + 1).otherwise(0),
         "query_length": F.length(query),
-        "suffix_rate": rate("suffix", rates["suffix"]),
-        "file_rate": rate("file", rates["file"]),
+        "suffix_rate": _rate("suffix", counts["suffix"], training),
+        "file_rate": _rate("file", counts["file"], training),
     }
     return base.withColumns({k: v.cast("double") for k, v in made.items()}).drop("_text", "_letters", "_labels", "_runs", "suffix", "file")
 
@@ -94,38 +136,50 @@ def _node(node, inputs: tuple[str, ...]) -> str:
     return f"if({inputs[split.featureIndex()]} <= {split.threshold()!r}D, {_node(node.leftChild(), inputs)}, {_node(node.rightChild(), inputs)})"
 
 
-def train(labelled: DataFrame) -> tuple[str, dict[str, dict[str, float]]]:
-    """The trees' margin as SQL over FEATURES ('' if there is nothing to learn), and the suffix statistics."""
+def _features_of(labelled: DataFrame, counts: dict[str, Counts], training: bool) -> DataFrame:
+    """Rows (features, and the columns of labelled)."""
+    from pyspark.ml.feature import VectorAssembler
+
+    host, path = parts(F.col("url"))
+    return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(features(labelled.withColumns({"host": host, "path": path}), counts, training))
+
+
+def fit(labelled: DataFrame):
+    """Spark's model and the suffix counts; no model if there is nothing to learn."""
     spark = labelled.sparkSession
     known = labelled.filter(F.col("url").isNotNull() & F.col("label").isin(0, 1)).groupBy("url").agg(F.max("label").cast("int").alias("label"))
+    counts = suffix_counts(known)
+    all_of = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    if len(all_of) < 2:
+        return None, counts
     order = [F.xxhash64("url"), F.col("url")]
-    some = [known.filter(F.col("label") == y).orderBy(*order).limit(TRAINING_ROWS).collect() for y in (0, 1)]  # a bounded sample
-    rates = {"suffix": {"": 0.5}, "file": {"": 0.5}}
-    if not some[0] or not some[1]:
-        return "", rates
-    rows = spark.createDataFrame([(r["url"], r["label"]) for part in some for r in part], "url string, label int")
-    host, path = parts(F.col("url"))
-    rows = rows.withColumns({"host": host, "path": path})
-    for kind in rates:
-        counted = _suffixes(rows).groupBy(kind).agg(F.sum("label").alias("bad"), F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), kind).limit(SUFFIXES).collect()
-        rates[kind] |= {r[kind]: (r["bad"] + 1) / (r["n"] + 2) for r in counted}
+    some = {y: known.filter(F.col("label") == y).orderBy(*order).limit(TRAINING_ROWS).collect() for y in (0, 1)}  # a bounded sample
+    rows = [(r["url"], float(y), all_of[y] / len(some[y]) * len(some[0] + some[1]) / sum(all_of.values())) for y in (0, 1) for r in some[y]]
     from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
 
-    table = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(features(rows, rates)).select("features", F.col("label").cast("double").alias("label"))
-    fitted = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, stepSize=0.3).fit(table.coalesce(2))
-    weights = [float(x) for x in fitted.treeWeights]
-    margin = " + ".join(f"{w!r}D * ({_node(t._java_obj.rootNode(), FEATURES)})" for w, t in zip(weights, fitted.trees, strict=True))
-    return margin, rates
+    table = _features_of(spark.createDataFrame(rows, "url string, label double, weight double"), counts, True).select("features", "label", "weight")
+    return GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, stepSize=0.3, weightCol="weight").fit(table.coalesce(2)), counts
+
+
+def written(model) -> str:
+    """The model's margin as SQL over FEATURES; '' without a model."""
+    if model is None:
+        return ""
+    return " + ".join(f"{float(w)!r}D * ({_node(t._java_obj.rootNode(), FEATURES)})" for w, t in zip(model.treeWeights, model.trees, strict=True))
+
+
+def probability(margin: str) -> Column:
+    """The probability that a URL is bad, 0 without a model."""
+    return F.expr(f"1 / (1 + exp(-2 * ({margin})))") if margin else F.lit(0.0)
 
 
 def judge(pages: DataFrame, labelled: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
     """Rows (page_id, host, path, rule, verdict, score): score is the trees' probability that the URL is bad."""
     rules = RULES if rules is None else rules
-    margin, rates = train(labelled)
+    model, counts = fit(labelled)
     host, path = parts(F.col("url"))
-    rows = features(pages.select("page_id", "url").withColumns({"host": host, "path": path}), rates)
-    bad = F.expr(f"1 / (1 + exp(-2 * ({margin})))") if margin else F.lit(0.0)
+    rows = features(pages.select("page_id", "url").withColumns({"host": host, "path": path}), counts)
+    bad = probability(written(model))
     scored = rows.select("page_id", "host", "path", rule_of(F.col("host"), F.col("path"), rules).alias("rule"), bad.alias("score"))
     own = F.when(F.col("score") >= 0.5, F.lit("block")).otherwise(F.lit("allow"))
     decided = F.element_at(F.create_map(*[F.lit(x) for kv in rules.items() for x in kv]), F.col("rule")) if rules else F.lit(None).cast("string")

@@ -29,8 +29,9 @@ def brute(rows, least):
     return sorted((ids[k], links[k], root[k]) for k in range(len(rows)))
 
 
-@pytest.mark.parametrize("block, leaf", [(4096, 512), (16, 4)])
-def test_embedding_groups(spark, monkeypatch, block, leaf):
+@pytest.mark.parametrize("block, leaf, span", [(4096, 512, 8 << 20), (16, 4, 1), (16, 4, 5000)])
+def test_embedding_groups(spark, monkeypatch, block, leaf, span):
+    monkeypatch.setattr(embeddings, "SPAN_BYTES", span)
     monkeypatch.setattr(embeddings, "BLOCK_ROWS", block)
     monkeypatch.setattr(embeddings, "LEAF_ROWS", leaf)
     rng = np.random.default_rng(4)
@@ -46,6 +47,13 @@ def test_embedding_groups(spark, monkeypatch, block, leaf):
     assert embeddings.near(df, 0.9).filter("kept <> (vec_id = component_id)").count() == 0
 
 
+def test_vectors_without_an_id(spark):
+    v, w = [1.0, 2.0, 3.0], [3.0, -1.0, 0.5]
+    df = spark.createDataFrame([(None, v), (None, v), (4, v), (2, v), (None, w), (None, None)], "vec_id long, embedding array<double>")
+    out = sorted(embeddings.near(df, 0.9).collect(), key=lambda r: (r["vec_id"] or 0))
+    assert [tuple(r) for r in out] == [(None, 0, None, False)] * 4 + [(2, 1, 2, True), (4, 1, 2, False)]
+
+
 def test_no_embeddings(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embeddings.near(df).count() == 0
@@ -78,6 +86,38 @@ def test_trees_learn_and_generalise(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_written_trees_equal_the_model_on_held_out_urls(spark):
+    """The expression gives the probabilities of Spark's own model, and they tell weakly labelled URLs that it wasn't trained on apart."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    labelled = urlfilter.weak_labels(rows).groupBy("url").agg(F.max("label").alias("label"))
+    held = urlfilter.fold(F.col("url")) == 0
+    model, counts = urlfilter.fit(labelled.filter(~held))
+    table = urlfilter._features_of(labelled.filter(held), counts, False).withColumn("own", urlfilter.probability(urlfilter.written(model)))
+    from pyspark.ml.functions import vector_to_array
+
+    got = model.transform(table).select("label", "own", vector_to_array("probability")[1].alias("theirs")).collect()
+    assert len(got) > 300 and all(abs(r["own"] - r["theirs"]) < 1e-9 for r in got)
+    bad, good = [r["own"] for r in got if r["label"]], [r["own"] for r in got if not r["label"]]
+    area = np.mean([(b > g) + 0.5 * (b == g) for b in bad for g in good])
+    print("held-out area", area, len(bad), len(good))
+    assert bad and area > 0.5
+
+
+def test_the_share_of_bad_urls_in_the_sample_moves_no_verdict(spark, monkeypatch):
+    """Few rows of each label, weighted back, give the mean probability that the labels have."""
+    rows = [(f"https://site{i}.example{i % 7}.org/a/{i}", int(i % 20 == 0)) for i in range(2000)]
+    monkeypatch.setattr(urlfilter, "TRAINING_ROWS", 100)
+    labelled = spark.createDataFrame(rows, "url string, label int")
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
+    assert urlfilter.judge(pages, labelled, rules={}).agg(F.avg("score")).first()[0] < 0.2
+
+
+def test_suffix_rates_leave_a_rows_fold_out():
+    counts = {("x", 0): (9, 10), ("x", 1): (1, 10), ("y", 2): (0, 5)}
+    assert urlfilter.rates(counts, 0)["x"] < urlfilter.rates(counts)["x"] < urlfilter.rates(counts, 1)["x"] and set(urlfilter.rates(counts)) == {"x", "y", "*"}
+    assert urlfilter.rates({}) == {"*": 0.5}
+
+
 def test_url_features_of_nothing(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     assert urlfilter.judge(pages, urlfilter.weak_labels(pages)).count() == 0 and pages.select(F.lit(1)).count() == 0
