@@ -4,10 +4,12 @@ Unit vectors of cosine c are sqrt(2 - 2c) apart, so the cosine threshold is a ra
 the cells, epsilon wide, of a grid on them. Stretches of that order are blocks with bounding boxes; two blocks meet unless their boxes are further than epsilon apart, which the
 projections of the vectors would then be too. Within a pair the join goes on recursively over halves of the sequences, down to products of small matrices in double precision.
 
+Blocks meet in tasks that hold SPAN_BYTES of consecutive blocks twice, so a block is sent once to each stretch of blocks near it, not once to each block.
+
 Equal vectors are one class and one row of the join. A pair of blocks returns, for each vector, the number of its partners and a spanning forest of its links, never the pairs.
 
-Cases: null and zero vectors and those with null or non-finite components link with nothing, nor do vectors of different lengths. Repeated ids count as one vector of each row; all
-rows are returned. An empty table gives an empty result. Extra columns, the label among them, are ignored.
+Cases: null and zero vectors and those with null or non-finite components link with nothing, nor do vectors of different lengths, nor rows without an id, which have no component and aren't kept.
+Repeated ids count as one vector of each row; all rows are returned. An empty table gives an empty result. Extra columns, the label among them, are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from lodestream.llm.shared import small_batches, stored
 
 #: Vectors that a block holds, and that the recursion multiplies at once.
 BLOCK_ROWS, LEAF_ROWS = 4096, 512
+#: Bytes of consecutive blocks that a task holds on either side.
+SPAN_BYTES = 8 << 20
 #: Principal axes of the grid and of the boxes, found on a bounded sample; the order affects speed alone.
 AXES, SAMPLE_ROWS = 8, 5_000
 
@@ -125,14 +129,19 @@ def _blocks(classes: DataFrame, axes, epsilon: float) -> DataFrame:
 
 
 def _pairs(blocks: DataFrame, epsilon: float) -> DataFrame:
-    """Pairs of blocks whose boxes are at most epsilon apart; they meet on cells of the first axis."""
-    meta = blocks.select("block", "size", "low", "high")
+    """Pairs of stretches with blocks whose boxes are at most epsilon apart; they meet on cells of the first axis."""
+    meta = blocks.select("stretch", "block", "size", "low", "high")
     cell = lambda c, more: F.floor(F.element_at(c, 1) / epsilon).cast("int") + more
-    left = meta.select(F.col("block").alias("i"), F.col("low").alias("low_i"), F.col("high").alias("high_i"), "size", F.explode(F.sequence(cell("low", -1), cell("high", 1))).alias("cell"))
-    right = meta.select(F.col("block").alias("j"), F.col("low").alias("low_j"), F.col("high").alias("high_j"), "size", F.explode(F.sequence(cell("low", 0), cell("high", 0))).alias("cell"))
+    left = meta.select(F.col("block").alias("i"), F.col("stretch").alias("a"), F.col("low").alias("low_i"), F.col("high").alias("high_i"), "size", F.explode(F.sequence(cell("low", -1), cell("high", 1))).alias("cell"))
+    right = meta.select(F.col("block").alias("j"), F.col("stretch").alias("b"), F.col("low").alias("low_j"), F.col("high").alias("high_j"), "size", F.explode(F.sequence(cell("low", 0), cell("high", 0))).alias("cell"))
     gap = F.expr("aggregate(zip_with(zip_with(low_i, high_j, (a, b) -> a - b), zip_with(low_j, high_i, (a, b) -> a - b), (a, b) -> greatest(a, b, 0D)), 0D, (s, g) -> s + g * g)")
-    near = left.join(right, ["size", "cell"]).filter((F.col("i") <= F.col("j")) & (gap <= epsilon * epsilon * (1 + 1e-9)))
-    return near.select("i", "j").distinct()
+    near = left.join(right, ["size", "cell"]).filter((F.col("i") <= F.col("j")) & (gap <= _reach(epsilon)))
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _reach(epsilon: float) -> float:
+    """The square of epsilon, and what rounding may take."""
+    return epsilon * epsilon * (1 + 1e-9)
 
 
 def _leaf_labels(hit: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,29 +215,56 @@ def _halves(a: int, b: int) -> list[tuple[int, int]]:
 
 
 def _joined(pairs: DataFrame, blocks: DataFrame, axes, least: float) -> DataFrame:
-    """Rows (node, links, other): links of one pair of blocks; other is the node's neighbour in the forest, or null."""
-    one = blocks.select(F.col("block").alias("i"), "size", F.col("ids").alias("ids_i"), F.col("weights").alias("w_i"), F.col("raw").alias("raw_i"))
-    two = blocks.select(F.col("block").alias("j"), F.col("ids").alias("ids_j"), F.col("weights").alias("w_j"), F.col("raw").alias("raw_j"))
-    spread = pairs.join(one, "i").join(two, "j").select("i", "j", "size", "ids_i", "w_i", "raw_i", "ids_j", "w_j", "raw_j")
+    """Rows (node, links, other): links of two blocks of a pair of stretches; other is the node's neighbour in the forest, or null."""
+    epsilon = math.sqrt(2 - 2 * least)
+    columns = ["a", "b", "stretch", "block", "size", "ids", "weights", "raw", "low", "high"]
+    one = pairs.join(blocks.withColumnRenamed("stretch", "a").withColumn("stretch", F.col("a")), "a").select(*columns)
+    two = pairs.filter("a <> b").join(blocks.withColumnRenamed("stretch", "b").withColumn("stretch", F.col("b")), "b").select(*columns)
+    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        names = ["node", "links", "other"]
+
+        def found() -> Iterator[pa.RecordBatch]:
+            first, second = held[0]["a"], held[0]["b"]
+            unpacked: dict[int, tuple] = {}
+
+            def vectors(x: dict) -> tuple:
+                if x["block"] not in unpacked:
+                    u = unit([x["raw"][k : k + 8 * x["size"]] for k in range(0, len(x["raw"]), 8 * x["size"])])
+                    unpacked[x["block"]] = u, _projected(u, axes.value), np.frombuffer(x["ids"], np.int64), np.frombuffer(x["weights"], np.int64)
+                return unpacked[x["block"]]
+
+            for x in held:
+                for y in held:
+                    if x["stretch"] != first or y["stretch"] != second or x["block"] > y["block"] or x["size"] != y["size"]:
+                        continue
+                    gap = np.maximum(0, np.maximum(np.subtract(x["low"], y["high"]), np.subtract(y["low"], x["high"])))
+                    if (gap * gap).sum() > _reach(epsilon):
+                        continue
+                    same = x["block"] == y["block"]
+                    (u, pu, ids_u, wu), (v, pv, ids_v, wv) = vectors(x), vectors(y)
+                    links_u, links_v, kept = join_blocks(u, v, pu, pv, wu, wv, least, same)
+                    every = ids_u if same else np.concatenate([ids_u, ids_v])
+                    total = links_u + links_v if same else np.concatenate([links_u, links_v])
+                    at = np.flatnonzero(total)
+                    a, b = np.array([x for x, _ in kept], np.int64), np.array([y for _, y in kept], np.int64)
+                    node = np.concatenate([every[at], every[a]])
+                    if len(node):
+                        other = pa.array(np.concatenate([np.zeros(len(at), np.int64), every[b]]), mask=np.arange(len(node)) < len(at))
+                        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate([total[at], np.zeros(len(a), np.int64)])), other], names=names)
+
         for batch in batches:
-            for k in range(batch.num_rows):
-                i, j, size, ids_i, w_i, raw_i, ids_j, w_j, raw_j = (batch.column(c)[k].as_py() for c in range(9))
-                u, ids_u, wu = unit([raw_i[x : x + 8 * size] for x in range(0, len(raw_i), 8 * size)]), np.frombuffer(ids_i, np.int64), np.frombuffer(w_i, np.int64)
-                same = i == j
-                v, ids_v, wv = (u, ids_u, wu) if same else (unit([raw_j[x : x + 8 * size] for x in range(0, len(raw_j), 8 * size)]), np.frombuffer(ids_j, np.int64), np.frombuffer(w_j, np.int64))
-                links_u, links_v, kept = join_blocks(u, v, _projected(u, axes.value), _projected(v, axes.value), wu, wv, least, same)
-                every = ids_u if same else np.concatenate([ids_u, ids_v])
-                total = links_u + links_v if same else np.concatenate([links_u, links_v])
-                at = np.flatnonzero(total)
-                a, b = np.array([x for x, _ in kept], np.int64), np.array([y for _, y in kept], np.int64)
-                node = np.concatenate([every[at], every[a]])
-                if len(node):
-                    other = pa.array(np.concatenate([np.zeros(len(at), np.int64), every[b]]), mask=np.arange(len(node)) < len(at))
-                    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate([total[at], np.zeros(len(a), np.int64)])), other], names=["node", "links", "other"])
-
-    return spread.mapInArrow(run, "node long, links long, other long")
+            for row in batch.to_pylist():
+                if held and (row["a"], row["b"]) != (held[0]["a"], held[0]["b"]):
+                    yield from found()
+                    held = []
+                held.append(row)
+        if held:
+            yield from found()
+
+    return one.unionByName(two).repartition(parts, "a", "b").sortWithinPartitions("a", "b", "block").mapInArrow(run, "node long, links long, other long")
 
 
 def near(vectors: DataFrame, least: float = 0.9, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -236,10 +272,14 @@ def near(vectors: DataFrame, least: float = 0.9, key: str = "vec_id", vector: st
     spark = vectors.sparkSession
     epsilon = math.sqrt(2 - 2 * least)
     rows = stored(_packed(vectors, key, vector))
-    classes = stored(rows.filter("raw IS NOT NULL").groupBy("size", "raw").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")))
+    classes = stored(rows.filter("raw IS NOT NULL AND vec_id IS NOT NULL").groupBy("size", "raw").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")))
     axes = spark.sparkContext.broadcast(_axes(classes))
+    spread = F.shiftright("block", 32)  # the partition of the sorted rows, which holds about BLOCK_ROWS
+    width = 8 * F.greatest(F.lit(1), F.max("size")) * BLOCK_ROWS
     blocks = stored(_blocks(classes, axes, epsilon))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # a row of a pair holds two blocks
+    each = max(1, SPAN_BYTES // int(blocks.agg(F.coalesce(width, F.lit(SPAN_BYTES))).first()[0]))
+    blocks = blocks.withColumn("stretch", F.floor(spread / each).cast("long"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # a row holds a block
     found = stored(_joined(stored(_pairs(blocks, epsilon)), blocks, axes, least))
     small_batches(spark)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
@@ -247,5 +287,6 @@ def near(vectors: DataFrame, least: float = 0.9, key: str = "vec_id", vector: st
     joined = classes.join(links, classes["rep"] == links["node"], "left").drop("node").join(of, classes["rep"] == of["node"], "left").drop("node")
     per_class = stored(joined.select("size", "raw", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
     out = rows.join(per_class, ["size", "raw"], "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    known = F.col("vec_id").isNotNull()
+    component = F.when(known, F.coalesce("component_id", "vec_id"))
+    return out.select("vec_id", F.coalesce(F.when(known, F.col("n_links")), F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
