@@ -131,24 +131,39 @@ def _rule_table() -> Column:
 
 
 def _spans(line: str) -> Column:
-    """Every match of every rule whose keyword occurs: label, priority, strength, from, to (characters of the line)."""
-    # a pattern's matches and the text between them alternate, so lengths give the places
+    """Every match of every rule whose keyword occurs: label, priority, strength, from, to (characters of the line). A rule's matches and the text between them alternate, so lengths give the places; both are extracted once a rule."""
     return F.expr(f"""
-        flatten(transform(filter(rules, r -> contains({line}, r.keyword) AND rlike({line}, r.pattern)), r ->
-          transform(
+        flatten(transform(
+          transform(filter(rules, r -> contains({line}, r.keyword) AND rlike({line}, r.pattern)), r -> named_struct('r', r,
+            'hits', transform(regexp_extract_all({line}, r.pattern, 0), h -> length(h)), 'gaps', transform(split({line}, r.pattern, -1), g -> length(g)))),
+          x -> transform(
             aggregate(
-              sequence(0, size(regexp_extract_all({line}, r.pattern, 0)) - 1),
+              zip_with(slice(x.gaps, 1, size(x.hits)), x.hits, (g, h) -> named_struct('g', g, 'h', h)),
               named_struct('at', 0, 'found', CAST(array() AS ARRAY<STRUCT<a: INT, b: INT>>)),
-              (acc, i) -> named_struct(
-                'at', acc.at + length(get(split({line}, r.pattern, -1), i)) + length(get(regexp_extract_all({line}, r.pattern, 0), i)),
-                'found', array_append(acc.found, named_struct(
-                   'a', acc.at + length(get(split({line}, r.pattern, -1), i)),
-                   'b', acc.at + length(get(split({line}, r.pattern, -1), i)) + length(get(regexp_extract_all({line}, r.pattern, 0), i))))),
+              (acc, m) -> named_struct('at', acc.at + m.g + m.h, 'found', array_append(acc.found, named_struct('a', acc.at + m.g, 'b', acc.at + m.g + m.h))),
               acc -> acc.found),
-            s -> named_struct('label', r.label, 'priority', r.priority, 'strength', r.strength, 'a', s.a, 'b', s.b))))
+            s -> named_struct('label', x.r.label, 'priority', x.r.priority, 'strength', x.r.strength, 'a', s.a, 'b', s.b))))
     """)
 
 
+def _uncontained(spans: str, priorities: list[int]) -> Column:
+    """The spans that lie in no span of higher priority, nor in a longer one of their own.
+
+    In order of their beginning, the longer and higher first, whatever contains a span comes before it; so one pass suffices that keeps, for each priority from the highest
+    down, the furthest end so far and the first beginning that reached it.
+    """
+    levels = ", ".join(f"named_struct('p', {p}, 'a', 0, 'b', -1)" for p in sorted(priorities, reverse=True))
+    contained = "exists(acc.top, t -> (t.p > s.priority AND t.b >= s.b) OR (t.p = s.priority AND (t.b > s.b OR (t.b = s.b AND t.a < s.a))))"
+    return F.expr(f"""
+        aggregate(
+          array_sort({spans}, (x, y) -> CASE WHEN x.a <> y.a THEN x.a - y.a WHEN x.b <> y.b THEN y.b - x.b ELSE y.priority - x.priority END),
+          named_struct('top', array({levels}), 'kept', filter({spans}, s -> false)),
+          (acc, s) -> named_struct(
+            'top', transform(acc.top, t -> if(t.p = s.priority AND s.b > t.b, named_struct('p', t.p, 'a', s.a, 'b', s.b), t)),
+            'kept', if({contained}, acc.kept, array_append(acc.kept, s))),
+          acc -> acc.kept)""")
+
+
 def _word_count(c: Column) -> Column:
     """Pieces between runs of separators, less the empty ones at the ends: cheaper than extracting the words."""
     edge = F.when(c.rlike(f"\\A{SEPARATOR}"), 1).otherwise(0) + F.when(c.rlike(f"{SEPARATOR}\\z"), 1).otherwise(0)
@@ -178,9 +193,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, text: str = "te
     lined = seen.select("doc_id", "n_words", F.when(F.col("text").isNotNull(), F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(WORDS), F.lit(0))).alias("words"))
     lined = lined.select("doc_id", "n_words", "words", F.when(F.col("words").isNotNull(), F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))).alias("line"), _rule_table().alias("rules"))
     found = lined.select("doc_id", "n_words", F.when(F.col("words").isNotNull(), _base_places("words", phrases)).alias("base"), F.when(F.col("line").isNotNull(), _spans("line")).alias("spans"))
-    kept = F.expr("""
-        filter(spans, s -> NOT exists(spans, o -> o.a <= s.a AND s.b <= o.b
-          AND (o.priority > s.priority OR (o.priority = s.priority AND o.b - o.a > s.b - s.a))))""")
+    kept = _uncontained("spans", sorted({priority for _, priority, *_ in rules()}))
     out = found.select("doc_id", "n_words", "base", F.when(F.col("spans").isNotNull(), kept).alias("spans"))
     empty = F.array().cast("array<string>")
     base = F.coalesce(F.expr("transform(base, b -> b.label)"), empty)
