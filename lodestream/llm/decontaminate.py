@@ -8,6 +8,7 @@ The benchmark is read in blocks of about BLOCK_BYTES, dealt by a hash of the id,
 for each block, without a shuffle, and carry the best item so far. So neither the broadcast nor the work of a row depends on how many documents there are.
 
 Cases: a null or empty text, or item, has no words and matches nothing; an item of fewer than ``least`` words matches nothing. Texts are read whole.
+A text and an item of one word repeated share as many seeds as the product of their lengths: they are handled SEEDS at a time, and only the matches that they grow into, one a diagonal, are held.
 Ties go to the smaller item id. Repeated rows get equal results, and columns called like an added one are replaced. An empty benchmark leaves coverage 0.
 """
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -22,11 +24,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from lodestream.llm.shared import begin, small_batches
+from lodestream.llm.shared import held, small_batches, stored
 
 LEAST, COVERAGE = 5, 0.8
 #: Bytes of benchmark text that one pass holds.
 BLOCK_BYTES = 8 << 20
+#: Passes that one stage makes, each with a worker and a block of its own, before the documents are written.
+PASSES = 4
+#: Seeds that are held at once.
+SEEDS = 1 << 20
 
 _WORD = re.compile(r"\w+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -85,51 +91,77 @@ class Index:
         seeds = rolled(ids, self.least)[at]
         lo, hi = np.searchsorted(self.hash, seeds, "left"), np.searchsorted(self.hash, seeds, "right")
         hit = np.flatnonzero(hi > lo)
-        shared: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for i in hit.tolist():
-            for j in range(lo[i], hi[i]):
-                shared[int(self.owner[j])].append((int(at[i]), int(self.place[j])))
+        many = hi[hit] - lo[hit]
+        runs: dict[int, list[np.ndarray]] = defaultdict(list)
+        start = 0
+        while start < len(hit):
+            stop = max(start + 1, start + int(np.searchsorted(np.cumsum(many[start:]), SEEDS, side="right")))
+            own, n = hit[start:stop], many[start:stop]
+            place = np.repeat(lo[own] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
+            p, q, owner = np.repeat(at[own], n), self.place[place], self.owner[place]
+            by = np.argsort(owner, kind="stable")
+            edge = np.flatnonzero(np.diff(owner[by], prepend=-1))
+            for k, part in zip(owner[by][edge].tolist(), np.split(by, edge[1:]), strict=True):
+                runs[k].append(matches(ids, self.items[k][1], p[part], q[part], self.least))
+            start = stop
         found = none
-        for k, seeds_of in shared.items():
+        for k, of_item in runs.items():
             item, own = self.items[k]
-            tiles = tile(ids, own, seeds_of, self.least)
+            tiles = tile(joined(of_item), len(own), self.least)
             part = sum(n for n, _, _ in tiles) / len(own)
             if part > found[0] or (part == found[0] and part > 0 and _before(item, found[1])):
                 found = (part, item, len(tiles), len(words))
         return found
 
 
-def tile(text: np.ndarray, item: np.ndarray, seeds: list[tuple[int, int]], least: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles (length, start in the text, start in the item) from the seeds that the two share."""
-    runs: list[tuple[int, int, int]] = []
-    for p, q in sorted(seeds, key=lambda s: (s[0] - s[1], s[0])):
-        if not np.array_equal(text[p : p + least], item[q : q + least]):
-            continue  # two runs of one hash
-        if runs and runs[-1][1] - runs[-1][2] == p - q and p <= runs[-1][1] + runs[-1][0]:
-            n, a, b = runs.pop()
-            runs.append((p + least - a, a, b))
-        else:
-            runs.append((least, p, q))
-    heap = [(-n, p, q) for n, p, q in runs]
+def matches(text: np.ndarray, item: np.ndarray, p: np.ndarray, q: np.ndarray, least: int) -> np.ndarray:
+    """Maximal matches (length, start in the text, start in the item) of the seeds at p and q, one row each; two runs of one hash that differ are no seed."""
+    same = np.ones(len(p), bool)
+    for k in range(least):
+        same &= text[p + k] == item[q + k]
+    return joined([np.stack([np.full(int(same.sum()), least), p[same], q[same]], axis=1)])
+
+
+def joined(runs: list[np.ndarray]) -> np.ndarray:
+    """Matches that touch or overlap on a diagonal made one."""
+    rows = np.concatenate(runs)
+    if not len(rows):
+        return rows
+    diagonal = rows[:, 1] - rows[:, 2]
+    by = np.lexsort((rows[:, 1], diagonal))
+    n, p, diagonal = rows[by, 0], rows[by, 1], diagonal[by]
+    # ends grow along a diagonal; an offset for each diagonal keeps the running maximum apart
+    width = int((p + n).max()) + 1
+    rank = np.cumsum(np.diff(diagonal, prepend=diagonal[0]) != 0) * width
+    reach = np.maximum.accumulate(p + n + rank)
+    new = np.flatnonzero(np.concatenate(([True], p[1:] + rank[1:] > reach[:-1])))
+    end = reach[np.append(new[1:], len(p)) - 1] - rank[new]
+    return np.stack([end - p[new], p[new], p[new] - diagonal[new]], axis=1)
+
+
+def tile(runs: np.ndarray, item_words: int, least: int) -> list[tuple[int, int, int]]:
+    """Greedy tiles (length, start in the text, start in the item) from maximal matches: the longest first, cut to what is unmarked, until fewer than ``least`` words of the item are left."""
+    heap = [(-n, p, q) for n, p, q in runs.tolist()]
     heapq.heapify(heap)
-    used_text, used_item, tiles = set(), np.zeros(len(item), bool), []
-    while heap:
+    used_text, used_item, tiles, left = set(), np.zeros(item_words, bool), [], item_words
+    while heap and left >= least:
         n, p, q = heapq.heappop(heap)
         n = -n
-        free = [not used_item[q + k] and p + k not in used_text for k in range(n)]
-        if all(free):
+        free = ~used_item[q : q + n]
+        if not free.any():
+            continue
+        if used_text:
+            free &= np.fromiter((p + k not in used_text for k in range(n)), bool, n)
+        if free.all():
             tiles.append((n, p, q))
             used_item[q : q + n] = True
             used_text.update(range(p, p + n))
+            left -= n
             continue
-        start = None
-        for k, ok in enumerate([*free, False]):
-            if ok and start is None:
-                start = k
-            elif not ok and start is not None:
-                if k - start >= least:
-                    heapq.heappush(heap, (start - k, p + start, q + start))
-                start = None
+        edges = np.flatnonzero(np.diff(np.concatenate(([False], free, [False])).astype(np.int8)))
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            if b - a >= least:
+                heapq.heappush(heap, (a - b, p + a, q + a))
     return tiles
 
 
@@ -147,16 +179,17 @@ def tiled(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, text: str =
     for b in range(blocks):
         block = [(r["item_id"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()]
         out = _pass(out, spark.sparkContext.broadcast(block), least, text)
+        if b % PASSES == PASSES - 1 and b < blocks - 1:
+            out = stored(out)
     return out
 
 
 def _pass(df: DataFrame, shared, least: int, text: str) -> DataFrame:
     names = df.columns
-    added = ADDED.fieldNames()
+    added, owner = ADDED.fieldNames(), f"tiles {uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("tiles")
-        index = Index(shared.value, least)
+        index = held(owner, "index", lambda: Index(shared.value, least))
         for batch in batches:
             column = {n: batch.column(i) for i, n in enumerate(names)}
             now = []
