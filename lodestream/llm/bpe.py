@@ -6,7 +6,8 @@ once the bytes are joined. A rank file names no merges: every split of a token i
 with the token's own rank, which is how a rank-driven encoder merges.
 
 Cases: a null or empty text has no tokens. A text of any length is one unit of work, as merges never cross
-the pieces of the pattern. Ids outside the vocabulary raise when decoded. Extra columns pass through.
+the pieces of the pattern. Ids outside the vocabulary raise when decoded. Repeated rows get equal results, extra columns pass through,
+columns called like an added one are replaced, and an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ The prediction is the language of the largest proportion, the score is that prop
 
 Cases: a null text or one without a letter is ``und`` with score 0, as is every text if nothing could be learned. A text of
 any length is used whole. Ties go to the language that sorts first. Rows are predicted one by one: repeated rows get equal
-results, an empty table an empty one. Training rows with a null language or text are ignored.
+results, an empty table an empty one. Training rows with a null language or text are ignored, as are other columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,13 +19,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lodestream.llm.shared import slices, small_batches
+from lodestream.llm.shared import slices, small_batches, stored
 
 #: Trigrams are hashed to so many numbers.
 BUCKETS = 4096
 #: Steps that rank the languages, and steps of each candidate set.
 RANKING_STEPS, SET_STEPS = 3, 6
 SMOOTHING = 0.5
+#: Languages that a model may have; each is BUCKETS numbers on the driver and in the workers. More are an error: a column of other things than languages.
+LANGUAGES = 1000
 #: A language has two parameters: that it is there, and its share.
 PENALTY = 1.0
 
@@ -79,9 +81,12 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
 
 
 def model(counts: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages in order, and their smoothed distributions: as many rows as languages times BUCKETS at most reach the driver."""
+    """Languages in order, and their smoothed distributions: LANGUAGES times BUCKETS rows at most reach the driver."""
+    counts = stored(counts)
+    names = sorted(r["lang"] for r in counts.select("lang").distinct().limit(LANGUAGES + 1).collect())
+    if len(names) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     rows = counts.collect()
-    names = sorted({r["lang"] for r in rows})
     table = np.zeros((len(names), BUCKETS))
     at = {n: i for i, n in enumerate(names)}
     for r in rows:
