@@ -5,7 +5,8 @@ a word never seen. Counts are those of the whole table less the document's own,
 
 The count tables are partitioned by the n-gram's hash and joined to the documents' n-grams, in columns of numbers rather than a row for each n-gram: documents
 are dealt into blocks, a block sends each of its distinct n-grams once to the partition of its hash, with the number of times it has it (so a frequent n-gram is one entry
-of each block, wherever it is hot), the partition adds up and answers with the totals, and the block sums the scores of each document.
+of each block, wherever it is hot), the partition adds up and answers with the totals, and the block sums the scores of each document. The n-grams of one length are counted at a time
+and their totals written, so that no more than one length's are on the way.
 
 Cases: a null or empty text, or one without a word, has no words, a sum of 0 and a null mean. Texts are read whole. Repeated rows are documents of their own. Words are
 runs of ASCII letters, A-Z lower-cased, digits, and all characters beyond ASCII. N-grams are 64-bit hashes. An empty table gives an empty result; extra columns are ignored.
@@ -17,12 +18,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lodestream.llm.shared import small_batches, utf8
+from lodestream.llm.shared import free_shuffles, small_batches, stored, utf8
 
-ORDER, ALPHA = 2, 0.4
+ORDER, ALPHA = 3, 0.4
 #: Bytes of text in a block, and bytes of n-grams in a partition of the counts; their numbers follow the input.
 BLOCK_BYTES, PARTITION_BYTES = 4 << 20, 16 << 20
-#: Bytes of n-grams that a byte of text makes, at most, about.
+#: Bytes of n-grams of one length that a byte of text makes, at most, about.
 KEYS_PER_BYTE = 1.0
 #: Bytes of a text that are hashed at once.
 PIECE = 1 << 20
@@ -136,24 +137,27 @@ def score(docs: DataFrame, order: int = ORDER, text: str = "text", key: str = "d
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     size = int(rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
     blocks = max(1, -(-size // BLOCK_BYTES))
-    bits = max(0, int(np.ceil(np.log2(max(1.0, size * KEYS_PER_BYTE * order / 2 / PARTITION_BYTES)))))
+    bits = max(0, int(np.ceil(np.log2(max(1.0, size * KEYS_PER_BYTE / PARTITION_BYTES)))))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("long"))
 
-    def send(table: pa.Table) -> pa.Table:
-        word, _, by_order = _keys(table, order)
-        keys = np.sort(np.concatenate([k for k, _ in by_order] + [np.full(min(1, len(word)), _TOTAL)]))
-        edge = np.flatnonzero(np.diff(keys, prepend=keys[:1] - np.uint64(1)))
-        keys, counts = keys[edge], np.diff(np.append(edge, len(keys)))
-        counts[keys == _TOTAL] = len(word)
-        block = table.column("block")[0].as_py()
-        out = []
-        part = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-        cuts = np.searchsorted(part, np.arange((1 << bits) + 1))
-        for p in range(1 << bits):
-            a, b = int(cuts[p]), int(cuts[p + 1])
-            if b > a:
-                out.append((p, block, b - a, _pack(keys[a:b]), _small(counts[a:b])))
-        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["part", "block", "n", "keys", "counts"])
+    def keys_of(by_order: list, k: int, n_words: int) -> np.ndarray:
+        """The n-grams of k words; with single words goes one entry for all words."""
+        return by_order[k - 1][0] if k > 1 else np.append(by_order[0][0], np.full(min(1, n_words), _TOTAL))
+
+    def sender(k: int):
+        def send(table: pa.Table) -> pa.Table:
+            word, _, by_order = _keys(table, k)
+            keys = np.sort(keys_of(by_order, k, len(word)))
+            edge = np.flatnonzero(np.diff(keys, prepend=keys[:1] - np.uint64(1)))
+            keys, counts = keys[edge], np.diff(np.append(edge, len(keys)))
+            counts[keys == _TOTAL] = len(word)
+            block = table.column("block")[0].as_py()
+            part = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+            cuts = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(keys)).tolist()  # only partitions that get something
+            out = [(int(part[a]), block, b - a, _pack(keys[a:b]), _small(counts[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["part", "block", "n", "keys", "counts"])
+
+        return send
 
     def add(table: pa.Table) -> pa.Table:
         sizes = table.column("n").to_pylist()
@@ -176,25 +180,34 @@ def score(docs: DataFrame, order: int = ORDER, text: str = "text", key: str = "d
         n_words = np.bincount(owner, minlength=n_docs)
         logs, lower = np.zeros(n_docs), np.zeros(n_docs, np.int64)
         if len(word):
-            ordered = answers.sort_by("part")
-            totals = np.concatenate([_large(t, n) for t, n in zip(ordered.column("totals").to_pylist(), ordered.column("n").to_pylist(), strict=True)])
-            keys = np.concatenate([k for k, _ in by_order] + [np.full(1, _TOTAL)])
-            doc = np.concatenate([owner[p] for _, p in by_order] + [np.full(1, -1)])
-            by = np.argsort(keys, kind="stable")
-            new = np.concatenate(([True], keys[by][1:] != keys[by][:-1]))
-            own_new = new | np.concatenate(([True], doc[by][1:] != doc[by][:-1]))
-            run = np.flatnonzero(own_new)
-            own = np.repeat(np.diff(np.append(run, len(by))), np.diff(np.append(run, len(by))))
-            others = np.empty(len(keys), np.int64)
-            others[by] = totals[np.cumsum(new) - 1] - own
-            tokens = others[-1] + 1 - n_words[owner]  # the total's own entry was taken off once
+            ordered = answers.sort_by([("length", "ascending"), ("part", "ascending")])
+            length = ordered.column("length").to_numpy()
+            packed, sizes = ordered.column("totals").to_pylist(), ordered.column("n").to_pylist()
+
+            def others_of(k: int) -> np.ndarray:
+                """For each n-gram of k words how often it stands in other documents."""
+                rows = np.flatnonzero(length == k).tolist()
+                keys = keys_of(by_order, k, len(word))
+                if not len(keys):
+                    return np.zeros(0, np.int64)
+                totals = np.concatenate([_large(packed[r], sizes[r]) for r in rows])
+                doc = np.append(owner[by_order[k - 1][1]], np.full(len(keys) - len(by_order[k - 1][1]), -1))
+                by = np.argsort(keys, kind="stable")
+                new = np.concatenate(([True], keys[by][1:] != keys[by][:-1]))
+                run = np.flatnonzero(new | np.concatenate(([True], doc[by][1:] != doc[by][:-1])))
+                own = np.repeat(np.diff(np.append(run, len(by))), np.diff(np.append(run, len(by))))
+                others = np.empty(len(keys), np.int64)
+                others[by] = totals[np.cumsum(new) - 1] - own
+                return others
+
             value, used = None, np.zeros(len(word), np.int64)
-            before, offset = None, 0
+            before = None
             for k, (_, place) in enumerate(by_order):
+                others = others_of(k + 1)
                 count = np.zeros(len(word), np.int64)
-                count[place] = others[offset : offset + len(place)]
-                offset += len(place)
+                count[place] = others[: len(place)]
                 if k == 0:
+                    tokens = others[-1] + 1 - n_words[owner]  # the total's own entry was taken off once
                     value = np.where(count > 0, count / np.maximum(tokens, 1), 1 / (tokens + 1.0))
                 else:
                     history = np.maximum(1, np.concatenate(([0], before[:-1])))
@@ -209,6 +222,10 @@ def score(docs: DataFrame, order: int = ORDER, text: str = "text", key: str = "d
         mean = pa.array(logs / np.maximum(1, n_words), mask=n_words == 0)
         return pa.table([docs_of.column("doc_id").combine_chunks(), pa.array(n_words), pa.array(logs), mean, pa.array(lower)], names=names)
 
-    sent = dealt.groupBy("block").applyInArrow(send, "part int, block long, n int, keys binary, counts binary")
-    answered = sent.groupBy("part").applyInArrow(add, "block long, part int, totals binary, n int")
-    return dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(total, "doc_id long, n_words long, log_score double, score double, n_backoffs long")
+    answers = None
+    for k in range(1, order + 1):
+        sent = dealt.groupBy("block").applyInArrow(sender(k), "part long, block long, n int, keys binary, counts binary")
+        answered = stored(sent.groupBy("part").applyInArrow(add, "block long, part long, totals binary, n int").withColumn("length", F.lit(k)))
+        free_shuffles(spark)
+        answers = answered if answers is None else answers.unionByName(answered)
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(total, "doc_id long, n_words long, log_score double, score double, n_backoffs long")

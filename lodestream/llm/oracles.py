@@ -39,14 +39,18 @@ FROM v JOIN c ON node = vec_id LEFT JOIN n ON u = vec_id
 BACKOFF = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
   t AS (SELECT r, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS w FROM d),
-  p AS (SELECT r, i, w, lag(w) OVER (PARTITION BY r ORDER BY i) AS h FROM t),
+  p AS (SELECT r, i, w, lag(w) OVER q AS h, lag(w, 2) OVER q AS g FROM t WINDOW q AS (PARTITION BY r ORDER BY i)),
   u AS (SELECT w, count(*) AS n FROM p GROUP BY w), ud AS (SELECT r, w, count(*) AS n FROM p GROUP BY r, w),
   b AS (SELECT h, w, count(*) AS n FROM p WHERE h IS NOT NULL GROUP BY h, w), bd AS (SELECT r, h, w, count(*) AS n FROM p WHERE h IS NOT NULL GROUP BY r, h, w),
-  x AS (SELECT p.r, u.n - ud.n AS cu, b.n - bd.n AS cb, uh.n - udh.n AS ch, p.h, (SELECT count(*) FROM p) - len(d.ws) AS tokens
+  c AS (SELECT g, h, w, count(*) AS n FROM p WHERE g IS NOT NULL GROUP BY g, h, w), cd AS (SELECT r, g, h, w, count(*) AS n FROM p WHERE g IS NOT NULL GROUP BY r, g, h, w),
+  x AS (SELECT p.r, u.n - ud.n AS cu, b.n - bd.n AS cb, uh.n - udh.n AS ch, c.n - cd.n AS ct, bh.n - bdh.n AS cgh, p.h, p.g, (SELECT count(*) FROM p) - len(d.ws) AS tokens
     FROM p JOIN d USING (r) JOIN u USING (w) JOIN ud ON ud.r = p.r AND ud.w = p.w LEFT JOIN b ON b.h = p.h AND b.w = p.w LEFT JOIN bd ON bd.r = p.r AND bd.h = p.h AND bd.w = p.w
-    LEFT JOIN u uh ON uh.w = p.h LEFT JOIN ud udh ON udh.r = p.r AND udh.w = p.h),
-  s AS (SELECT r, CASE WHEN cu > 0 THEN cu / greatest(tokens, 1)::DOUBLE ELSE 1 / (tokens + 1.0::DOUBLE) END AS su, cb, ch, h FROM x),
-  v AS (SELECT r, CASE WHEN h IS NULL THEN su WHEN cb > 0 THEN cb / ch::DOUBLE ELSE 0.4::DOUBLE * su END AS s, h IS NOT NULL AND cb = 0 AS back FROM s),
+    LEFT JOIN u uh ON uh.w = p.h LEFT JOIN ud udh ON udh.r = p.r AND udh.w = p.h
+    LEFT JOIN c ON c.g = p.g AND c.h = p.h AND c.w = p.w LEFT JOIN cd ON cd.r = p.r AND cd.g = p.g AND cd.h = p.h AND cd.w = p.w
+    LEFT JOIN b bh ON bh.h = p.g AND bh.w = p.h LEFT JOIN bd bdh ON bdh.r = p.r AND bdh.h = p.g AND bdh.w = p.h),
+  s1 AS (SELECT *, CASE WHEN cu > 0 THEN cu / greatest(tokens, 1)::DOUBLE ELSE 1 / (tokens + 1.0::DOUBLE) END AS s1 FROM x),
+  s2 AS (SELECT *, CASE WHEN h IS NULL THEN s1 WHEN cb > 0 THEN cb / ch::DOUBLE ELSE 0.4::DOUBLE * s1 END AS s2 FROM s1),
+  v AS (SELECT r, CASE WHEN g IS NULL THEN s2 WHEN ct > 0 THEN ct / cgh::DOUBLE ELSE 0.4::DOUBLE * s2 END AS s, CASE WHEN g IS NOT NULL THEN ct = 0 WHEN h IS NOT NULL THEN cb = 0 ELSE false END AS back FROM s2),
   a AS (SELECT r, sum(ln(s)) AS log_score, avg(ln(s)) AS score, count(*) FILTER (WHERE back) AS n_backoffs FROM v GROUP BY r)
 SELECT doc_id, len(ws) AS n_words, round(coalesce(log_score, 0), 6) AS log_score, round(score, 8) AS score, coalesce(n_backoffs, 0) AS n_backoffs FROM d LEFT JOIN a USING (r)
 """

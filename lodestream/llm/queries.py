@@ -39,7 +39,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document, for strings of 400 bytes."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document, for strings of 400 bytes; n_passages, n_passage_words for passages of 48 words."""
     return suffixdedup.digests(_table(spark, sf_dir, "documents"))
 
 
@@ -54,12 +54,6 @@ def op8_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({"log_score": F.round("log_score", 6), "score": F.round("score", 8)})
 
 
-def op8_backoff_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op8_backoff with n-grams of up to three words; its own query has SQL of two."""
-    found = ngramlm.score(_table(spark, sf_dir, "documents"), order=3)
-    return found.withColumns({"log_score": F.round("log_score", 6), "score": F.round("score", 8)})
-
-
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every document."""
     return licenses.scan(_table(spark, sf_dir, "documents"))
@@ -80,7 +74,6 @@ QUERIES = {
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_embeddings": op7_embeddings,
     "op8_backoff": op8_backoff,
-    "op8_backoff_order3": op8_backoff_order3,
     "op9_licenses": op9_licenses,
     "op10_simhash": op10_simhash,
 }
\ No newline at end of file
