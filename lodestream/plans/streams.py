@@ -58,13 +58,13 @@ def _waits():
 @R.add("STM1", f"SELECT event_id AS id, coalesce({_MS} - lag({_MS}) OVER (PARTITION BY user_id, event_type ORDER BY {_MS}, event_id) < 36000000, false) AS duplicate FROM events")
 def ttl_dedupe(spark, sf_dir):
     """Each sight refreshes, so an item is a duplicate if its last sight is recent."""
-    return run(spark, sf_dir, m.seen_within(36_000_000), "id long, duplicate boolean", _item()).select("id", "duplicate")
+    return run(spark, sf_dir, m.seen_within(36_000_000), "id long, duplicate boolean", _item(), idle_ms=36_000_000).select("id", "duplicate")
 
 
 @R.add("STM2", f"SELECT user_id, count(*) AS kept FROM (SELECT user_id, coalesce({_MS} - lag({_MS}) OVER (PARTITION BY user_id, event_type ORDER BY {_MS}, event_id) < 36000000, false) AS d FROM events) WHERE NOT d GROUP BY 1")
 def persistent_dedupe(spark, sf_dir):
     """The namespace is the key; the state is in the checkpoint."""
-    out = run(spark, sf_dir, m.seen_within(36_000_000), "id long, duplicate boolean", _item())
+    out = run(spark, sf_dir, m.seen_within(36_000_000), "id long, duplicate boolean", _item(), idle_ms=36_000_000)
     return out.filter("NOT duplicate").groupBy("user_id").agg(F.count(F.lit(1)).alias("kept"))
 
 
@@ -131,7 +131,7 @@ def drop_policy(spark, sf_dir):
 def enqueue_dedupe(spark, sf_dir):
     """By prompt and route, within five minutes."""
     route = F.concat_ws("|", "event_type", (F.col("event_id") % 3).cast("string")).alias("item")
-    return run(spark, sf_dir, m.seen_within(300_000), "id long, duplicate boolean", route).select("id", "duplicate")
+    return run(spark, sf_dir, m.seen_within(300_000), "id long, duplicate boolean", route, idle_ms=300_000).select("id", "duplicate")
 
 
 @R.add("STM13", "SELECT event_id AS id, CAST(least(n, 20) AS INTEGER) AS size, first_value(event_type) OVER (PARTITION BY user_id ORDER BY n ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS oldest FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY " + _MS + ", event_id) AS n FROM events)")
@@ -209,7 +209,7 @@ def capped_cache(spark, sf_dir):
 def replay_guard(spark, sf_dir):
     """room:message under the account's namespace."""
     item = F.concat(F.lit("room:"), (F.col("event_id") % 20).cast("string")).alias("item")
-    return run(spark, sf_dir, m.seen_within(86_400_000), "id long, duplicate boolean", item).select("id", "duplicate")
+    return run(spark, sf_dir, m.seen_within(86_400_000), "id long, duplicate boolean", item, idle_ms=86_400_000).select("id", "duplicate")
 
 
 @R.add("SNK8", "SELECT event_type, 2 * count(*) AS n FROM events GROUP BY 1")

@@ -1,7 +1,7 @@
 """Runs the machines on Structured Streaming, keyed and checkpointed, and over batches.
 
-Rows of a key that arrive in one micro-batch are put in order of (at, id) first. State is kept in the stream's checkpoint as JSON and expires by event time where the machine can flush: once the
-watermark has passed the last row by the idle time, what is held comes out.
+Rows of a key that arrive in one micro-batch are put in order of (at, id) first. State is kept in the stream's checkpoint as JSON. With an idle time it expires by event time: once the
+watermark has passed the last row by that time, what is held comes out, if the machine can flush, and the key's state goes.
 """
 
 from __future__ import annotations
@@ -31,13 +31,13 @@ def _names(schema: str) -> list[str]:
 
 
 def keyed(stream: DataFrame, key: str, machine: Machine, schema: str, flush: Flush | None = None, idle_ms: int = 0) -> DataFrame:
-    """Outputs of the machine for each key of a stream with the columns key, id, at (and, to flush, a watermark on a timestamp column)."""
+    """Outputs of the machine for each key of a stream with the columns key, id, at (and, for an idle time, a watermark on a timestamp column)."""
     kind, names = stream.schema[key].dataType.simpleString(), _names(schema)
 
     def run(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = json.loads(state.get[0]) if state.exists else {}
         if state.hasTimedOut:
-            _, out = flush(held)
+            out = flush(held)[1] if flush else []
             state.remove()
             yield _frame(key, keys[0], out, names)
             return
@@ -47,11 +47,11 @@ def keyed(stream: DataFrame, key: str, machine: Machine, schema: str, flush: Flu
             out += more
             last = int(row["at"])
         state.update((json.dumps(held, default=int),))
-        if flush is not None and held:
+        if idle_ms and held:
             state.setTimeoutTimestamp(max(last + idle_ms, state.getCurrentWatermarkMs() + 1))
         yield _frame(key, keys[0], out, names)
 
-    timeout = GroupStateTimeout.NoTimeout if flush is None else GroupStateTimeout.EventTimeTimeout
+    timeout = GroupStateTimeout.EventTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
     return stream.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {schema}", "state string", "append", timeout)
 
 
