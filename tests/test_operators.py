@@ -224,10 +224,60 @@ def test_last_turns(spark):
     assert [r["n"] for r in windows.last_user_turns(df, "s", "n", 2).orderBy("n").collect()] == [3, 4, 5] and windows.last_user_turns(df, "s", "n", 0).count() == 6
 
 
-def test_nearest_rank_is_the_same_at_scale(spark):
-    df = spark.createDataFrame([("a", float(i)) for i in range(1, 21)] + [("b", 1.0), ("b", 1.0), ("b", 7.0)], "k string, v double")
-    one = {r["k"]: r["p"] for r in df.groupBy("k").agg(rollups.nearest_rank(F.col("v"), 0.95).alias("p")).collect()}
-    assert one == {r["k"]: r["percentile"] for r in rollups.nearest_rank_at_scale(df, ["k"], "v", 0.95).collect()} == {"a": 20.0, "b": 7.0}
+def test_nearest_rank(spark):
+    rows = [("a", float(i)) for i in range(1, 21)] + [("b", 1.0), ("b", 1.0), ("b", 7.0), ("b", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    for share in (0.0, 0.5, 0.95, 1.0):
+        own = {k: sorted(v for j, v in rows if j == k and v is not None) for k in "ab"}
+        expected = {k: v[min(len(v) - 1, int(share * len(v)))] for k, v in own.items()}
+        assert {r["k"]: r["percentile"] for r in rollups.nearest_rank(df, ["k"], "v", share).collect()} == expected
+
+
+def test_engines_ingest_assemble_and_compact(spark):
+    from lodestream import api
+
+    engine = api.ENGINES.get("newest")
+    held = spark.createDataFrame([(1, i, 10.0) for i in range(4)], "session int, seq int, tokens double")
+    new = spark.createDataFrame([(1, 3, 30.0), (1, 4, 5.0), (2, 0, 99.0), (2, 0, 99.0)], held.schema)
+    both = engine.ingest(held, new)
+    assert sorted(map(tuple, both.collect())) == [(1, 0, 10.0), (1, 1, 10.0), (1, 2, 10.0), (1, 3, 30.0), (1, 4, 5.0), (2, 0, 99.0)]
+    assert sorted(r["seq"] for r in engine.assemble(both, 45).collect()) == [2, 3, 4]
+    assert sorted(map(tuple, engine.compact(both, 45).collect())) == [(1, 2, 20.0, 3), (2, 1, 99.0, 0)]
+
+
+def test_a_backend_that_fails_at_run_time_is_replaced(spark):
+    from lodestream import api
+
+    class Late:
+        def search(self, *_):
+            return spark.range(1).select(F.raise_error(F.lit("down")).cast("long").alias("id"))
+
+    class Good:
+        def search(self, *_):
+            return spark.range(3)
+
+    asked = api.Fallback([Late(), Good()])
+    assert asked.search("x").count() == 3 and "down" in asked.errors[0]
+    with pytest.raises(Exception, match="down"):
+        api.Fallback([Late()]).search("x")
+
+
+def test_keyword_rank_counts_words_that_stand_alone(spark):
+    """Against token lists, with tokens inside longer words, other scripts and marks."""
+    import math
+    import re
+
+    texts = ["The cat, the CAT's cat_1", "concat cats", "cat é cat2 caté", "", None, "éa cat", "дом cat дома 漢字", "cat " * 30]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    for query, every in (("cat the", False), ("cat", True), ("cat é", True), ("дом", True), ("1 cat", True)):
+        tokens = [re.findall(r"\w+", (t or "").lower()) for t in texts]
+        words = list(dict.fromkeys(re.findall(r"\w+", query.lower())))
+        mean = sum(map(len, tokens)) / len(texts)
+        expected = {}
+        for i, own in enumerate(tokens):
+            if (all if every else any)(w in own for w in words):
+                expected[i] = -sum(max(1e-6, math.log((len(texts) - n + 0.5) / (n + 0.5))) * own.count(w) * 2.2 / (own.count(w) + 1.2 * (0.25 + 0.75 * len(own) / mean)) for w in words for n in [sum(w in t for t in tokens)])
+        assert {r["id"]: r["rank"] for r in retrieval.keyword_rank(df, query, every).collect()} == pytest.approx(expected)
 
 
 def test_drain_and_allow_list(spark):
