@@ -49,9 +49,9 @@ def latency(df: DataFrame, by: list[str], ms: str) -> DataFrame:
 
 
 def merge_latency(partial: DataFrame, by: list[str]) -> DataFrame:
-    """Partial latencies as one; p95 is the largest partial p95, which isn't the p95 of all. Partials without a count are left out."""
+    """Partial latencies as one; p95 is the largest partial p95, which isn't the p95 of all. Averages have four decimals, so their sums are exact in decimals, whatever the order. Partials without a count are left out."""
     return partial.filter("n > 0").groupBy(*by).agg(
-        F.sum("n").alias("n"), F.round(F.sum(F.col("avg_ms") * F.col("n")) / F.sum("n"), 4).alias("avg_ms"), F.min("min_ms").alias("min_ms"), F.max("max_ms").alias("max_ms"), F.max("p95_ms").alias("p95_max_ms")
+        F.sum("n").alias("n"), F.round(F.sum((F.col("avg_ms") * F.col("n")).cast("decimal(28,6)")).cast("double") / F.sum("n"), 4).alias("avg_ms"), F.min("min_ms").alias("min_ms"), F.max("max_ms").alias("max_ms"), F.max("p95_ms").alias("p95_max_ms")
     )
 
 

@@ -134,12 +134,12 @@ def latency_stats(spark, sf_dir):
 _PARTIALS = f"{_FACTS}, p AS (SELECT session, model, date, count(*) AS n, round(avg(duration), 4) AS a, min(duration) AS lo, max(duration) AS hi, {_P95} AS p95 FROM f GROUP BY session, model, date)"
 
 
-@R.add("AGG10", f"{_PARTIALS} SELECT model, sum(n)::BIGINT AS n, round(sum(a * n) / sum(n), 4) AS avg_ms, min(lo) AS min_ms, max(hi) AS max_ms, max(p95) AS p95_max_ms FROM p GROUP BY model")
+@R.add("AGG10", f"{_PARTIALS} SELECT model, sum(n)::BIGINT AS n, round(CAST(sum(CAST(a * n AS DECIMAL(28, 6))) AS DOUBLE) / sum(n), 4) AS avg_ms, min(lo) AS min_ms, max(hi) AS max_ms, max(p95) AS p95_max_ms FROM p GROUP BY model")
 def merged_latency(spark, sf_dir):
     return rollups.merge_latency(rollups.latency(message_facts(spark, sf_dir), ["session", "model", "date"], "duration"), ["model"])
 
 
-@R.add("AGG11", f"{_PARTIALS} SELECT date, sum(n)::BIGINT AS n, round(sum(a * n) / sum(n), 4) AS avg_ms, min(lo) AS min_ms, max(hi) AS max_ms, max(p95) AS p95_max_ms FROM p GROUP BY date")
+@R.add("AGG11", f"{_PARTIALS} SELECT date, sum(n)::BIGINT AS n, round(CAST(sum(CAST(a * n AS DECIMAL(28, 6))) AS DOUBLE) / sum(n), 4) AS avg_ms, min(lo) AS min_ms, max(hi) AS max_ms, max(p95) AS p95_max_ms FROM p GROUP BY date")
 def merged_daily_latency(spark, sf_dir):
     return rollups.merge_latency(rollups.latency(message_facts(spark, sf_dir), ["session", "model", "date"], "duration"), ["date"])
 
