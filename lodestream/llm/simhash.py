@@ -9,7 +9,8 @@ A bucket never becomes all its pairs: a task compares a bucket in numpy and retu
 found. A bucket of more than BUCKET_ROWS rows is cut into blocks, and every two blocks of it meet in a task of their own.
 
 Cases: a null or empty text, or one of white space alone, has fingerprint zero, which links like any other. Fewer words than
-a shingle takes: the whole sequence is the only shingle. Repeated rows are equal fingerprints. An empty table gives an empty result.
+a shingle takes: the whole sequence is the only shingle. Repeated rows are equal fingerprints. Rows without an id have the component of rows with an id and the same fingerprint, null without such rows. ``groups``
+ignores extra columns, whatever their names; ``without_copies`` keeps all columns, and its own have names that begin with ``_sh_``. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -91,6 +91,26 @@ def test_fold_is_the_checksum_of_the_decimal_text(spark):
     assert got == {i: zlib.crc32(str(i).encode()) % 3 for i in range(50)}
 
 
+def test_mixtures_equal_a_plain_em():
+    """Proportions found text by text, with the set of languages grown by trial of every language left."""
+    rng = np.random.default_rng(5)
+    p = rng.dirichlet(np.full(40, 0.3), size=4).astype(np.float32) + np.float32(1e-4)
+    p /= p.sum(axis=1, keepdims=True)
+    counts = np.array([rng.multinomial(n, rng.dirichlet([0.4] * 4) @ (p / p.sum(axis=1, keepdims=True)).astype(float) / 1.0000001) for n in (5, 30, 200, 800, 60, 400)], np.float32)
+    weights, chosen = langid.mixtures(counts, p)
+    for text, found, n in zip(counts, weights, chosen):
+        own = np.flatnonzero(found > 0)
+        assert len(own) <= n and found.sum() == pytest.approx(1, abs=1e-3)
+        w = np.zeros(4)
+        w[own] = 1 / len(own)
+        for _ in range(3000):  # to the end, over the same set
+            w = w * (p @ (text / np.maximum(w @ p, 1e-30))) / text.sum()
+        best = (text * np.log(w @ p)).sum()
+        assert (text * np.log(np.maximum(found @ p, 1e-30))).sum() >= best - 0.02 * text.sum() - 0.5
+        alone = max((text * np.log(p[k])).sum() for k in range(4))
+        assert (text * np.log(np.maximum(found @ p, 1e-30))).sum() >= alone - 1e-2
+
+
 def test_languages_without_training_rows(spark, frame):
     df = frame(["abc"]).withColumn("lang", F.lit(None).cast("string"))
     assert [(r["lang_pred"], r["score"]) for r in langid.identify(df).collect()] == [("und", 0.0)] and langid.identify(frame([])).count() == 0
@@ -101,23 +121,33 @@ def test_languages_without_training_rows(spark, frame):
 
 @pytest.mark.parametrize("text, kinds", [
     ("You are an idiot.", {"targeted": 1}), ("idiot", {"plain": 1}), ("You are not an idiot", {"negated": 1}), ("He said that you idiot left", {"reported": 1}), ("He said hello. Idiot!", {"plain": 1}),
-    ("I will kill you", {"threat": 1}), ("not a nice day, my friend idiot", {"plain": 1}), ("idiotic widiot", {}), ("", {}), ("the scum; the loser", {"plain": 2})])
+    ("I will kill you", {"threat": 1}), ("Kill them all", {"threat": 1}), ("not a nice day, my friend idiot", {"plain": 1}), ("idiotic widiot", {}), ("", {}), ("the scum; the loser", {"plain": 2}),
+    ("kill the process with a signal", {}), ("signals kill it and hurt you", {}), ("the idiot box is an old name", {"plain": 1}), ("idiots like you", {"targeted": 1}), ("a stupid clown", {"plain": 1, "chained": 1}),
+    ("nobody will kill you, he said", {"reported": 1}), ("I will never hurt you", {"negated": 1}), ("ich werde dich töten", {"threat": 1}), ("you idiot, she wrote", {"reported": 1})])
 def test_clauses(text, kinds):
     assert dict(toxicity.Matcher([]).matches(text)) == kinds
 
 
+def test_a_lone_word_is_not_toxic_before_any_label_is_seen(spark):
+    texts = ["idiot", "the idiot box is an old name", "kill the process with a signal", "He said that you idiot left", "You are not an idiot", "You are an idiot", "I will kill you", "you stupid clown"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert [r["predicted"] for r in toxicity.judge(docs, none).orderBy("doc_id").collect()] == [0] * 5 + [1] * 3
+
+
 def test_composition_equals_one_machine_after_another():
     import itertools
 
-    words = [toxicity.OTHER, toxicity.INSULT, toxicity.THREAT, toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT]
-    symbols = {*words, "N", "R", "P"}
-    parts = [toxicity._within(toxicity.NEGATION, {"I": "N", "T": "N"}, symbols, 3), toxicity._within(toxicity.REPORT, {"I": "R", "T": "R"}, symbols, None), toxicity._within(toxicity.TARGET, {"I": "P"}, symbols, 3)]
-    machine = toxicity.grammar()
-    for clause in itertools.product(words, repeat=4):
-        expected = list(clause)
-        for p in parts:
-            expected = p.run(expected)
-        assert machine.run(list(clause)) == expected
+    machine = toxicity.Grammar()
+    for n in (1, 2, 4):
+        for clause in itertools.product(toxicity.WORDS, repeat=n):
+            expected = list(clause)[::-1]
+            for part in toxicity.backward():
+                expected = part.run(expected)
+            expected = expected[::-1]
+            for part in toxicity.forward():
+                expected = part.run(expected)
+            assert machine.run(list(clause)) == expected
 
 
 def test_toxicity_learns_stems_and_leaves_clean_texts(spark, odd_texts):
@@ -194,11 +224,21 @@ def greedy(text, item, least):
         covered += n
 
 
+def test_a_word_repeated_shares_many_seeds(monkeypatch):
+    """The product of both lengths isn't held, and pieces of it give the same tiles."""
+    index = decontaminate.Index([(1, "the " * 400), (2, "the of " * 60)], 5)
+    monkeypatch.setattr(decontaminate, "SEEDS", 10_000)
+    assert index.best("the " * 20_000) == (1.0, 1, 1, 20_000)
+    assert index.best("the of " * 30)[0] == 0.5 and index.best("of " + "the " * 100 + "x " + "the " * 100)[:3] == (0.5, 1, 2)
+
+
 @given(st.lists(st.sampled_from("abc"), max_size=14), st.lists(st.sampled_from("abc"), min_size=3, max_size=8))
 @settings(max_examples=150, deadline=None)
 def test_tiles_equal_the_plain_algorithm(text, item):
+    decontaminate.SEEDS = 1 + len(text) % 3  # pieces of seeds that end anywhere
     index = decontaminate.Index([(1, " ".join(item))], 3)
     assert index.best(" ".join(text))[0] * len(item) == pytest.approx(greedy(text, item, 3))
+    decontaminate.SEEDS = 1 << 20
 
 
 # --- repeated strings ----------------------------------------------------------------------------
@@ -236,13 +276,60 @@ def removed(texts, length):
     return out
 
 
+def repeated_words(texts, length):
+    """For each text its words' places in bytes, and which of them stand in a run of ``length`` that occurs twice."""
+    import re
+
+    places = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())] for t in texts]
+    words = [[(t or "").encode()[a:b] for a, b in p] for t, p in zip(texts, places)]
+    seen = Counter(tuple(w[i : i + length]) for w in words for i in range(len(w) - length + 1))
+    cover = [np.zeros(len(w), bool) for w in words]
+    for w, c in zip(words, cover):
+        for i in range(len(w) - length + 1):
+            if seen[tuple(w[i : i + length])] > 1:
+                c[i : i + length] = True
+    return places, cover
+
+
+def runs_of(cover):
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], cover.astype(int), [0]))))
+    return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
+
+
+def without_words(texts, length):
+    """The texts without those runs, from a run's first word's first byte to its last word's last."""
+    out = []
+    for t, places, cover in zip(texts, *repeated_words(texts, length)):
+        b = (t or "").encode()
+        cuts = [0, *(x for i, j in runs_of(cover) for x in (places[i][0], places[j - 1][1])), len(b)]
+        out.append(b"".join(b[x:y] for x, y in zip(cuts[::2], cuts[1::2])).decode())
+    return out
+
+
 @pytest.mark.parametrize("group_rows, segment", [(256, 1 << 20), (1, 700)])
 def test_suffix_dedup(spark, frame, corpus, odd_texts, monkeypatch, group_rows, segment):
     texts = corpus + [t for t in odd_texts if len(t or "") < 10_000]
     monkeypatch.setattr(suffixdedup, "GROUP_ROWS", group_rows)
     monkeypatch.setattr(suffixdedup, "SEGMENT", segment)
-    out = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixdedup.digests(frame(texts)).collect()}
-    assert [out[i] for i in range(len(texts))] == removed(texts, 400)
+    rows = {r["doc_id"]: r for r in suffixdedup.digests(frame(texts)).collect()}
+    assert [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for _, r in sorted(rows.items())] == removed(texts, 400)
+    assert [(r["n_passages"], r["n_passage_words"]) for _, r in sorted(rows.items())] == [(len(runs_of(c)), int(c.sum())) for c in repeated_words(texts, 48)[1]]
+
+
+@pytest.mark.parametrize("group_rows, segment", [(256, 1 << 20), (1, 5000)])
+def test_passages_of_words(spark, frame, corpus, odd_texts, monkeypatch, group_rows, segment):
+    """Passages of 46 to 60 words in many texts, over line ends, in pieces, and a word repeated; long words are symbols like others."""
+    monkeypatch.setattr(suffixdedup, "GROUP_ROWS", group_rows)
+    monkeypatch.setattr(suffixdedup, "SEGMENT", segment)
+    rng = random.Random(8)
+    texts = corpus + [t for t in odd_texts if len(t or "") < 10_000]
+    for n in (46, 47, 48, 49, 51, 60):
+        passage = prose(rng, n)
+        texts += [f"{prose(rng, rng.randint(0, 40))}{gap}{passage}{gap}{prose(rng, rng.randint(0, 40))}" for gap in (" ", "\n", "\t ", "\n\n", "  ", " ")]
+    texts += ["it " * 90, "w" * 5000 + " " + prose(rng, 60) + " " + "w" * 5000]
+    texts += [texts[-1] + " end"]
+    out = {r["doc_id"]: r["text"] for r in suffixdedup.deduplicated(frame(texts), units=(suffixdedup.PASSAGES,)).collect()}
+    assert [out[i] for i in range(len(texts))] == without_words(texts, 48)
 
 
 def test_suffix_dedup_of_large_groups_with_late_anchors(spark, frame, monkeypatch):
@@ -255,7 +342,7 @@ def test_suffix_dedup_of_large_groups_with_late_anchors(spark, frame, monkeypatc
         wanted = set(range(96, 101))
         while wanted:
             passage = letters(size)
-            place = int(suffixdedup.anchors(passage[-400:], 400, 300)[2][0])
+            place = int(suffixdedup.anchors(passage[-400:], suffixdedup.BYTES)[2][0])
             if place in wanted:
                 wanted.remove(place)
                 texts += [np.concatenate([letters(110), passage, letters(110)]).tobytes().decode() for _ in range(4)]
@@ -317,7 +404,7 @@ def test_backoff_of_three_words_is_registered(spark, frame, corpus, tmp_path):
     from lodestream.llm import queries
 
     frame(corpus).write.parquet(f"{tmp_path}/documents.parquet")
-    out = {r["doc_id"]: r for r in queries.QUERIES["op8_backoff_order3"](spark, str(tmp_path)).collect()}
+    out = {r["doc_id"]: r for r in queries.QUERIES["op8_backoff"](spark, str(tmp_path)).collect()}
     for i, (n, s, lower) in enumerate(backoff(corpus, 3)):
         assert (out[i]["n_words"], out[i]["n_backoffs"]) == (n, lower) and out[i]["log_score"] == pytest.approx(s, rel=1e-9, abs=1e-5)
 
@@ -363,6 +450,27 @@ def test_every_spelling_of_a_name_passes_its_keyword(spark, frame):
     assert [labels[i] for i in range(4)] == ["gpl,lgpl", "gpl,lgpl", "wtfpl", "wtfpl"]
 
 
+def plain_labels(text):
+    """Every rule over the words, and every span compared with every other."""
+    import re
+
+    line = " " + " ".join(w.decode() for w in re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode()))) + " "
+    spans = [(m.start(), m.end(), priority, label, strength) for label, priority, strength, keyword, pattern in licenses.rules() if keyword in line for m in re.finditer(f"(?<= )(?:{pattern})(?= )", line)]
+    kept = [s for s in spans if not any(o[0] <= s[0] and s[1] <= o[1] and (o[2] > s[2] or (o[2] == s[2] and o[1] - o[0] > s[1] - s[0])) for o in spans)]
+    labels = {s[3] for s in kept} | {label for _, label in base_places(text)[1]}
+    return ",".join(sorted(labels)), max([0.0, *(s[4] for s in kept), *([0.6] if base_places(text)[1] else [])])
+
+
+def test_labels_equal_plain_rules(spark, frame, odd_texts):
+    rng = random.Random(12)
+    names = ["gnu lesser general public", "mit", "apache 2 0", "cc by nc sa 4 0", "creative commons attribution share alike", "bsd 3 clause", "gpl v3", "lgpl 2 1 or later", "mozilla public", "sspl 1", "the public domain", "isc"]
+    frames = ["licensed under the terms of the {} license", "spdx license identifier {}", "license is {}", "{} license", "released under {}", "all rights reserved {}", "without warranty of any kind {} licence", "into {}"]
+    texts = [" ".join(rng.choice(frames).format(rng.choice(names)) + " " + prose(rng, rng.randint(0, 3)) for _ in range(rng.randint(1, 6))) for _ in range(60)] + LICENCES + odd_texts
+    texts += [" ".join(f"released under the {rng.choice(names)} license" for _ in range(400))]
+    out = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(frame(texts)).collect()}
+    assert [out[i] for i in range(len(texts))] == [plain_labels(t) for t in texts]
+
+
 def test_contained_matches_are_suppressed(spark, frame):
     rows = licenses.scan(frame(["released under the terms of the GNU Lesser General Public License"]), phrases={}).collect()
     assert rows[0]["labels"] == "lgpl" and rows[0]["n_base"] == 0
@@ -434,13 +542,20 @@ def test_different_texts_of_one_id_stay(spark, frame):
     assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == sorted([(1, a), (1, b), (3, c)])
 
 
-def test_near_copies_equal_brute_force(spark, frame, corpus, monkeypatch):
-    """Texts around a similarity of 0.8, both sides of it, with a passage that most of them share: no link of 0.8 is lost, and none below is made."""
+@pytest.mark.parametrize("group_sets, map_bytes, large", [(4096, 32 << 20, 1000), (6, 1000, 40)])
+def test_near_copies_equal_brute_force(spark, frame, corpus, monkeypatch, group_sets, map_bytes, large):
+    """Texts around a similarity of 0.8, both sides of it, with a passage that most of them share: no link of 0.8 is lost, and none below is made; nor in groups cut by size and into blocks."""
     from lodestream.llm import nearcopies
 
     monkeypatch.setattr(nearcopies, "BUCKET_ROWS", 60)
+    monkeypatch.setattr(nearcopies, "SHIFTED_ROWS", 9)
+    monkeypatch.setattr(nearcopies, "GROUP_SETS", group_sets)
+    monkeypatch.setattr(nearcopies, "MAP_BYTES", map_bytes)
+    monkeypatch.setattr(nearcopies, "LARGE", large)
     rng = random.Random(21)
     shared, texts = prose(rng, 25), [t for t in corpus if t]
+    base = prose(rng, 200).split()
+    texts += [" ".join("new" + w if rng.random() < rng.choice([0.01, 0.03]) else w for w in base) for _ in range(60)]  # one large group
     for _ in range(50):
         base = prose(rng, rng.choice([8, 30, 100, 300])).split()
         texts.append(" ".join(base) + " " + shared)
@@ -458,6 +573,22 @@ def test_near_copies_equal_brute_force(spark, frame, corpus, monkeypatch):
     assert out == [i for i in range(len(texts)) if root(i) == i]
 
 
+def test_similar_sets_share_a_key():
+    """Sets of all sizes with as many differences as a similarity of 0.8 allows."""
+    from lodestream.llm import nearcopies
+
+    rng = np.random.default_rng(6)
+    none = np.zeros(0, np.uint64)
+    for n in [1, 2, 4, 5, 9, 30, *rng.integers(600, 6000, 60).tolist()]:
+        shingles = rng.integers(0, 1 << 63, 2 * n + 2, np.uint64)
+        a = np.unique(shingles[:n])
+        less, more = (int(n // 5), 0) if n % 2 else (int(n // 9), int(n // 9))
+        b = np.unique(np.concatenate([a[less:], shingles[n : n + more]]))
+        both = np.intersect1d(a, b).size
+        if len(b) and 5 * both >= 4 * (len(a) + len(b) - both):
+            assert any(np.intersect1d(x, y).size for x, y in zip(nearcopies.keys_of(a, none, none), nearcopies.keys_of(b, none, none)))
+
+
 def test_components_of_paths_stars_and_nulls(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, i) for i in range(2, 30)] + [(500, 500), (None, 4), (7, 1), (1, 7)]
     found = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
