@@ -60,12 +60,17 @@ def sweep(sessions: DataFrame, key: Column, time_ms: str, now_ms: int, retention
 
 
 def evicted(artifacts: DataFrame, by: str, time_ms: str, size: str, high_water: float, target: float, referenced: DataFrame, key: str) -> DataFrame:
-    """The oldest unreferenced artifacts whose removal brings a folder over its high water down to the target."""
-    total = artifacts.groupBy(by).agg(F.sum(size).alias("_total"))
-    over = artifacts.join(total.filter(F.col("_total") > high_water), by)
+    """The oldest unreferenced artifacts whose removal brings a folder over its high water down to the target.
+
+    Sizes are added as decimals of ten places, so that a folder that is exactly at its target is at it in any order of adding. A folder with a size that no such decimal holds is added as it stands."""
+    exact = F.col(size).try_cast("decimal(28,10)")
+    total = artifacts.groupBy(by).agg(F.sum(exact).alias("_total"), F.sum(size).alias("_plain"), F.coalesce(F.bool_or(exact.isNull() & F.col(size).isNotNull()), F.lit(False)).alias("_is_plain"))
+    over = artifacts.join(total.filter(F.when(F.col("_is_plain"), F.col("_plain") > high_water).otherwise(F.col("_total") > high_water)), by)
     free = over.join(referenced.select(key).distinct(), key, "left_anti")
-    before = F.coalesce(F.sum(size).over(Window.partitionBy(by).orderBy(time_ms, key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return free.withColumn("_before", before).filter(F.col("_total") - F.col("_before") > target).drop("_before", "_total")
+    earlier = Window.partitionBy(by).orderBy(time_ms, key).rowsBetween(Window.unboundedPreceding, -1)
+    rest = F.col("_total") - F.coalesce(F.sum(exact).over(earlier), F.lit(0))
+    plain = F.col("_plain") - F.coalesce(F.sum(size).over(earlier), F.lit(0.0))
+    return free.withColumn("_more", F.when(F.col("_is_plain"), plain > target).otherwise(rest > target)).filter("_more").drop("_more", "_total", "_plain", "_is_plain")
 
 
 BUSY_STALE_MS, EVENT_STALE_MS, CONNECT_GRACE_MS = 25 * 60_000, 30 * 60_000, 120_000

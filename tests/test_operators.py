@@ -211,6 +211,15 @@ def test_channel_health(spark, changes, reason):
     assert spark.range(1).select(state.channel_health(F.lit(10_000_000), columns)).first()[0] == reason
 
 
+def test_eviction_ends_exactly_at_the_target(spark):
+    """800 are left once 488.11 are gone; floats leave a little more, in whatever order they add."""
+    sizes = [216.69, 271.42, 237.75, 179.27, 382.98]
+    rows = spark.createDataFrame([("a", i, float(i), s) for i, s in enumerate(sizes)] + [("b", 10 + i, float(i), s) for i, s in enumerate([900.0, float("inf"), 1.0])] + [("c", 20, 0.0, 1000.0), ("d", 30, 0.0, None)], "folder string, id long, at double, size double")
+    assert sorted(r["id"] for r in state.evicted(rows, "folder", "at", "size", 1000, 800, rows.filter("id = 999"), "id").collect()) == [0, 1, 10, 11, 12]
+    used = state.evicted(rows, "folder", "at", "size", 1000, 800, rows.filter("id = 1"), "id")
+    assert set(used.columns) == set(rows.columns) and sorted(r["id"] for r in used.collect()) == [0, 2, 3, 10, 11, 12]
+
+
 def test_policies_and_freshness(spark):
     assert state.reset_policy("direct", idle_minutes=5) == state.ResetPolicy("idle", 4, 5) and state.reset_policy("direct") == state.ResetPolicy("daily", 4, None)
     assert state.reset_policy("group", {"direct": {"mode": "idle"}}) == state.ResetPolicy("daily", 4, None) and state.reset_policy("direct", {"direct": {"mode": "idle"}}) == state.ResetPolicy("idle", 4, 60)
