@@ -10,6 +10,8 @@
    block where a class is large itself. Every two that no earlier link joins are compared, first by parities of as many parts as the sets are large, then exactly; again a spanning forest is
    returned, of the links of four fifths or more. Its components are the copies.
 
+The two large exchanges, of keys and of whole sets, go in as many rounds as keep each near ROUND_BYTES for a shingle of the input, however often rows are sent; a round's shuffle goes before the next.
+
 Shingles and sets are known by hashes of 64 bits. Cases: texts without a word are one class, which links to nothing; texts under five words have one shingle. Rows without an id aren't compared.
 """
 
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +45,8 @@ GROUP_SETS, GROUP_SHINGLES, SET_ROWS = 4096, 1 << 22, 100
 SIZE_STEP = 1.26
 #: Bytes of parities that a task holds.
 MAP_BYTES = 32 << 20
+#: Bytes that a round of an exchange sends for each shingle of all sets, about, and the least that a round is made for; bytes of a key's row in a shuffle, which a join may deal once more.
+ROUND_BYTES, LEAST_ROUND, KEY_BYTES = 3, 64 << 20, 2 * 24
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -199,19 +204,40 @@ def _pairs(run: np.ndarray, sides: np.ndarray, n: np.ndarray, place: np.ndarray,
     return np.concatenate(u), np.concatenate(v)
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Rows (u, v) of classes (set, n, prefix, parts, map): links that join all that may be similar."""
+def rounds(sent: int | None, shingles: int) -> int:
+    """In how many rounds an exchange of so many bytes goes."""
+    return max(1, math.ceil((sent or 0) / max(LEAST_ROUND, ROUND_BYTES * shingles)))
+
+
+def _in_rounds(n: int, made: Callable[[int], DataFrame]) -> DataFrame:
+    """What made(0), made(1) ... give, each written before the next begins."""
+    parts = []
+    for r in range(n):
+        parts.append(stored(made(r)))
+        free_shuffles(parts[-1].sparkSession)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def candidates(classes: DataFrame, shingles: int) -> DataFrame:
+    """Rows (u, v) of classes (set, n, prefix, parts, map) with so many shingles in all: links that join all that may be similar."""
     spark = classes.sparkSession
     sized = classes.filter(F.pmod(F.col("set"), F.lit(SIZED)) == 0).select(F.explode(F.concat("prefix", "parts")).alias("key")).groupBy("key").count()
-    large = stored(sized.filter(F.col("count") * SIZED > BUCKET_ROWS).select("key", F.ceil(F.col("count") * SIZED * 2 / BUCKET_ROWS).cast("int").alias("blocks")))
+    large = stored(sized.filter(F.col("count") * SIZED > BUCKET_ROWS).select("key", F.ceil(F.col("count") * SIZED * 2 / BUCKET_ROWS).cast("int").alias("blocks"), "count"))
+    again = large.agg(F.sum(F.col("count") * SIZED * (F.col("blocks") - 1))).first()[0]
+    large = large.drop("count")
+    n_rounds = rounds(KEY_BYTES * ((classes.agg(F.sum(F.size("prefix") + F.size("parts"))).first()[0] or 0) + (again or 0)), shingles)
     rows = classes.select(F.posexplode("prefix").alias("place", "key"), "set", "n", "map")
     rows = rows.unionByName(classes.select(F.lit(0).alias("place"), F.explode("parts").alias("key"), "set", "n", F.lit(bytes(PARTS // 8)).alias("map")))  # a map rules no large sets out
     mine = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
     names = ["key", "side", "i", "j", "set", "n", "place", "map"]
     blocks = F.coalesce("blocks", F.lit(1))
-    dealt = rows.join(large, "key", "left").withColumn("side", F.coalesce(mine, F.lit(0))).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")}).select(*names)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def dealt(r: int) -> DataFrame:
+        own = rows.filter(F.pmod(F.xxhash64("key"), F.lit(n_rounds)) == r).join(large, "key", "left").withColumn("side", F.coalesce(mine, F.lit(0))).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        own = own.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")}).select(*names)
+        return own.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+
     small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +266,7 @@ def candidates(classes: DataFrame) -> DataFrame:
         if held and len(held[0][0]):
             yield found([np.concatenate(c) for c in zip(*held, strict=True)])
 
-    return dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(run, "u long, v long")
+    return _in_rounds(n_rounds, lambda r: dealt(r).mapInArrow(run, "u long, v long"))
 
 
 def _compared(sets: list[np.ndarray], sides: np.ndarray) -> tuple[list[int], list[int]]:
@@ -269,15 +295,25 @@ def _compared(sets: list[np.ndarray], sides: np.ndarray) -> tuple[list[int], lis
     return spanning(sides, linked)
 
 
-def verified(sets: DataFrame) -> DataFrame:
-    """Rows (u, v): links that join all similar sets of a group; sets has (group, units, set, shingles), units being the classes of size where the set meets others, and the number of blocks of each."""
-    spark = sets.sparkSession
+def verified(texts: DataFrame, shingles: int) -> DataFrame:
+    """Rows (u, v): links that join all similar sets of a group. texts has (group, units, set, n, text), units being the classes of size where the set meets others, and the number of blocks of each; shingles are those of the whole input."""
+    spark = texts.sparkSession
     names = ["group", "unit", "i", "j", "side", "set", "shingles"]
-    each = sets.select("group", F.explode("units").alias("u"), "set", "shingles").select("group", "u.unit", "u.blocks", "set", "shingles")
-    dealt = each.withColumn("side", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")}).select(*names)
+    sent = texts.agg(F.sum(8 * F.col("n").cast("long") * F.aggregate("units", F.lit(0).cast("long"), lambda a, u: a + u["blocks"]))).first()[0]
+    n_rounds = rounds(sent, shingles)
+
+    def meetings(u):
+        side = F.pmod(F.xxhash64("set"), u["blocks"]).cast("int")
+        return F.transform(F.sequence(F.lit(0), u["blocks"] - 1), lambda other: F.struct(u["unit"].alias("unit"), F.least(side, other).alias("i"), F.greatest(side, other).alias("j"), side.alias("side")))
+
+    def dealt(r: int) -> DataFrame:
+        own = texts.withColumn("meets", F.filter(F.flatten(F.transform("units", meetings)), lambda m: F.pmod(F.xxhash64("group", m["unit"], m["i"], m["j"]), F.lit(n_rounds)) == r))
+        small_batches(spark)
+        sets = _texts(own.filter(F.size("meets") > 0), lambda s: (s.tobytes(),), "shingles binary", "set long, group long, meets array<struct<unit:int,i:int,j:int,side:int>>")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(SET_ROWS))
+        return sets.select("group", "set", "shingles", F.explode("meets").alias("m")).select("group", "m.unit", "m.i", "m.j", "m.side", "set", "shingles").select(*names)
+
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(SET_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[int, np.ndarray]] = {}
@@ -300,7 +336,7 @@ def verified(sets: DataFrame) -> DataFrame:
             yield found()
 
     keys = ["group", "unit", "i", "j"]
-    return dealt.repartition(parts, *keys).sortWithinPartitions(*keys, "side").mapInArrow(run, "u long, v long")
+    return _in_rounds(n_rounds, lambda r: dealt(r).repartition(parts, *keys).sortWithinPartitions(*keys, "side").mapInArrow(run, "u long, v long"))
 
 
 def _units(known: DataFrame) -> DataFrame:
@@ -310,7 +346,7 @@ def _units(known: DataFrame) -> DataFrame:
     own = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(SIZE_STEP))).cast("int")
     each = known.join(of_group, "group").withColumn("unit", F.explode(F.when(F.col("large") > 1, F.array(own, own + 1)).otherwise(F.array(F.lit(0)))))
     blocks = each.groupBy("group", "unit").agg(F.when(size > 1, 2 * size).otherwise(1).alias("blocks"))
-    return each.join(blocks, ["group", "unit"]).groupBy("doc_id", "hash", "group").agg(F.array_sort(F.collect_set(F.struct("unit", "blocks"))).alias("units"))
+    return each.join(blocks, ["group", "unit"]).groupBy("doc_id", "hash", "group", "set", "n").agg(F.array_sort(F.collect_set(F.struct("unit", "blocks"))).alias("units"))
 
 
 def kept(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -322,19 +358,24 @@ def kept(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     frequent, counts = _frequent(rows)
     name = lambda s: np.uint64(xxhash.xxh64_intdigest(s.tobytes(), SEED)).astype(np.int64)
     made = lambda s: (name(s), len(s), *[k.view(np.int64).tolist() for k in keys_of(s, frequent, counts)], parities(s))
-    prints = stored(_texts(rows, made, "set long, n int, prefix array<long>, parts array<long>, map binary", "doc_id long, hash long"))
+    prints = _texts(rows, made, "set long, n int, prefix array<long>, parts array<long>, map binary", "doc_id long, hash long")
     first = F.min(F.struct("doc_id", "hash")).alias("row")
-    classes = stored(prints.groupBy("set").agg(first, F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parts").alias("parts"), F.first("map").alias("map")))
-    discard(prints)
+    keyed = stored(prints.groupBy("set").agg(first, *[F.first(c).alias(c) for c in ("n", "prefix", "parts", "map")]))
     free_shuffles(spark)
-    near = components(stored(candidates(classes)))
+    classes = stored(keyed.select("set", "row", "n"))
+    shingles = int(classes.agg(F.sum("n")).first()[0] or 0)
+    filtered = candidates(keyed, shingles)
+    discard(keyed)
+    near = components(filtered)
     free_shuffles(spark)
     members = stored(near.select(F.col("node").alias("set"), F.col("component").alias("group")).unionByName(near.select(F.col("component").alias("set"), F.col("component").alias("group")).distinct()))
     known = stored(classes.select("set", "row.doc_id", "row.hash", "n").join(members, "set"))
     needed = stored(_units(known))
-    texts = rows.join(needed.hint("merge"), ["doc_id", "hash"]).groupBy("doc_id", "hash").agg(F.min("text").alias("text"), F.min("group").alias("group"), F.min("units").alias("units"))
-    sets = _texts(texts, lambda s: (name(s), s.tobytes()), "set long, shingles binary", "group long, units array<struct<unit:int,blocks:int>>")
-    joined = components(stored(verified(sets)))
+    # rows of one id and text have one class; the texts of the groups are written, so that theirs alone are read in each round
+    texts = stored(rows.join(needed.hint("merge"), ["doc_id", "hash"]).groupBy("doc_id", "hash", "set", "n", "group").agg(F.min("text").alias("text"), F.min("units").alias("units")))
+    free_shuffles(spark)
+    joined = components(verified(texts, shingles))
+    discard(texts)
     free_shuffles(spark)
     of_class = classes.join(joined, classes["set"] == joined["node"], "left").select(F.coalesce("component", "set").alias("component"), "row")
     return of_class.groupBy("component").agg(F.min("row").alias("row")).select("row.doc_id", "row.hash")

@@ -573,6 +573,25 @@ def test_near_copies_equal_brute_force(spark, frame, corpus, monkeypatch, group_
     assert out == [i for i in range(len(texts)) if root(i) == i]
 
 
+def test_large_exchanges_of_near_copies_go_in_rounds(spark, frame, monkeypatch):
+    """Keys and whole sets are sent in several rounds of bounded size, and no link is lost between them."""
+    from lodestream.llm import nearcopies
+
+    monkeypatch.setattr(nearcopies, "LEAST_ROUND", 80_000)
+    monkeypatch.setattr(nearcopies, "GROUP_SETS", 4)
+    many, plain = [], nearcopies.rounds
+    monkeypatch.setattr(nearcopies, "rounds", lambda sent, shingles: many.append(plain(sent, 0)) or many[-1])
+    rng = random.Random(8)
+    texts, kept = [], []
+    for _ in range(30):
+        base = prose(rng, 150).split()
+        kept.append(len(texts))
+        texts += [" ".join("new" + w if i in (10 * k, 10 * k + 40) else w for i, w in enumerate(base)) for k in range(6)]
+    out = simhash.without_copies(frame(texts))
+    assert sorted(r["doc_id"] for r in out.collect()) == kept
+    assert len(many) == 2 and min(many) > 2
+
+
 def test_similar_sets_share_a_key():
     """Sets of all sizes with as many differences as a similarity of 0.8 allows."""
     from lodestream.llm import nearcopies
