@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies and near copies, that of the smallest id; null, empty and blank texts are copies of each other, and one of them stays. Rows without an id stay."""
+    """One document of each group of copies and near copies, that of the smallest id: candidates by SimHash fingerprints and the pigeonring, the farther ones by a prefix filter, then an exact check; null, empty and blank texts are copies of each other, and one of them stays. Rows without an id stay."""
     return simhash.without_copies(docs)
 
 

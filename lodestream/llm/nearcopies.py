@@ -1,10 +1,12 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of four fifths or more, all of them and no others.
 
-1. Texts with equal sets are one class. In an order of all shingles that is the same for every class, two similar sets share one of the first ``n // 5 + 1`` of their n shingles (prefix filter), so
+1. Texts with equal sets are one class. Its SimHash fingerprint is made of its shingles, and fingerprints within DISTANCE bits, found by the pigeonring's chains, make candidates. These are the closest pairs: at four
+   fifths two fingerprints differ in ten bits on average, and no chain is selective there. So the candidates beyond are added by a filter that loses no pair, and all candidates meet the same exact check.
+2. The filter: in an order of all shingles that is the same for every class, two similar sets share one of the first ``n // 5 + 1`` of their n shingles (prefix filter), so
    these are the keys of a join. Shingles that a sample of the texts has often come last in the order; whatever the sample is, no pair is lost. Large sets share one of so many shingles with too many
    others, and no few bits tell them apart. They are compared in classes of size, each with the next, and dealt by their hashes into more parts than similar sets of a class can differ in: as some
    parts are then equal throughout, the parts that aren't empty are the keys.
-2. Two rows of a bucket are candidates unless the sizes, the places of the key or the parities of 256 parts of the sets, which can't differ in more places than the sets do, rule it out.
+   Two rows of a bucket are candidates unless the sizes, the places of the key or the parities of 256 parts of the sets, which can't differ in more places than the sets do, rule it out.
    A bucket returns no pairs but a spanning forest of its candidates, which joins the same classes; one of over BUCKET_ROWS rows is cut into blocks, every two of which meet in a task.
 3. What candidates join is a group. The whole sets of a group meet, once each, in one task. Those of a large group meet in classes of size, each with the next, as similar sets have similar sizes; and block by
    block where a class is large itself. Every two that no earlier link joins are compared, first by parities of as many parts as the sets are large, then exactly; again a spanning forest is
@@ -28,9 +30,11 @@ from pyspark.sql import DataFrame, functions as F
 from lodestream.llm.components import components
 from lodestream.llm.ngramlm import _mix
 from lodestream.llm.shared import discard, free_shuffles, slices, small_batches, stored, utf8
-from lodestream.llm.simhash import BUCKET_ROWS, SEED, SHIFTED_ROWS, shingle_hashes
+from lodestream.llm.simhash import BUCKET_ROWS, SEED, SHIFTED_ROWS, fingerprint_of, links, shingle_hashes
 
 WORDS = 5
+#: Bits in which the fingerprints of candidates differ at most.
+DISTANCE = 3
 #: Texts whose shingles are counted, how often a frequent one occurs among them, and how many are known at most (16 bytes each, on the driver and in the tasks).
 SAMPLE_TEXTS, FREQUENT, FREQUENT_SHINGLES = 8000, 4, 100_000
 #: One in so many classes tells which buckets are large.
@@ -357,16 +361,16 @@ def kept(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text")).filter("doc_id IS NOT NULL")
     frequent, counts = _frequent(rows)
     name = lambda s: np.uint64(xxhash.xxh64_intdigest(s.tobytes(), SEED)).astype(np.int64)
-    made = lambda s: (name(s), len(s), *[k.view(np.int64).tolist() for k in keys_of(s, frequent, counts)], parities(s))
-    prints = _texts(rows, made, "set long, n int, prefix array<long>, parts array<long>, map binary", "doc_id long, hash long")
+    made = lambda s: (name(s), len(s), int(np.uint64(fingerprint_of(s)).astype(np.int64)), *[k.view(np.int64).tolist() for k in keys_of(s, frequent, counts)], parities(s))
+    prints = _texts(rows, made, "set long, n int, fp long, prefix array<long>, parts array<long>, map binary", "doc_id long, hash long")
     first = F.min(F.struct("doc_id", "hash")).alias("row")
-    keyed = stored(prints.groupBy("set").agg(first, *[F.first(c).alias(c) for c in ("n", "prefix", "parts", "map")]))
+    keyed = stored(prints.groupBy("set").agg(first, *[F.first(c).alias(c) for c in ("n", "fp", "prefix", "parts", "map")]))
     free_shuffles(spark)
-    classes = stored(keyed.select("set", "row", "n"))
+    classes = stored(keyed.select("set", "row", "n", "fp"))
     shingles = int(classes.agg(F.sum("n")).first()[0] or 0)
     filtered = candidates(keyed, shingles)
     discard(keyed)
-    near = components(filtered)
+    near = components(stored(links(classes.filter("n > 0").select(F.array("fp").alias("fps"), F.col("set").alias("rep")), DISTANCE).unionByName(filtered)))
     free_shuffles(spark)
     members = stored(near.select(F.col("node").alias("set"), F.col("component").alias("group")).unionByName(near.select(F.col("component").alias("set"), F.col("component").alias("group")).distinct()))
     known = stored(classes.select("set", "row.doc_id", "row.hash", "n").join(members, "set"))

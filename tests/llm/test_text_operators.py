@@ -592,6 +592,22 @@ def test_large_exchanges_of_near_copies_go_in_rounds(spark, frame, monkeypatch):
     assert len(many) == 2 and min(many) > 2
 
 
+def test_fingerprints_find_the_closest_copies(spark, frame, monkeypatch):
+    """Without the prefix filter the SimHash fingerprints alone find copies within three bits; the exact check follows, and a text that shares the fingerprint alone stays."""
+    from lodestream.llm import nearcopies
+
+    monkeypatch.setattr(nearcopies, "candidates", lambda classes, *_: spark.createDataFrame([], "u long, v long"))
+    rng = random.Random(13)
+    texts = [prose(rng, 900) for _ in range(6)]
+    texts += [t + " end" for t in texts[:4]]
+    prints = [simhash.fingerprint_of(nearcopies.shingle_set(t.encode())) for t in texts]
+    close = [i for i in range(4) if (prints[i] ^ prints[6 + i]).bit_count() <= 3]
+    assert len(close) >= 2
+    assert sorted(r["doc_id"] for r in simhash.without_copies(frame(texts)).collect()) == sorted(set(range(10)) - {6 + i for i in close})
+    monkeypatch.setattr(nearcopies, "fingerprint_of", lambda s: 5)
+    assert sorted(r["doc_id"] for r in simhash.without_copies(frame(texts)).collect()) == list(range(6))
+
+
 def test_similar_sets_share_a_key():
     """Sets of all sizes with as many differences as a similarity of 0.8 allows."""
     from lodestream.llm import nearcopies
