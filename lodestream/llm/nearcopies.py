@@ -49,8 +49,8 @@ GROUP_SETS, GROUP_SHINGLES, SET_ROWS = 4096, 1 << 22, 100
 SIZE_STEP = 1.26
 #: Bytes of parities that a task holds.
 MAP_BYTES = 32 << 20
-#: Bytes that a round of an exchange sends for each shingle of all sets, about, and the least that a round is made for; bytes of a key's row in a shuffle, which a join may deal once more.
-ROUND_BYTES, LEAST_ROUND, KEY_BYTES = 3, 64 << 20, 2 * 24
+#: Bytes that a round of an exchange sends for each shingle of all sets, about, and the least that a round is made for; bytes of a key's row in a shuffle; one in so many partitions writes what a round found, as that is little.
+ROUND_BYTES, LEAST_ROUND, KEY_BYTES, WRITERS = 3, 64 << 20, 24, 16
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -217,8 +217,10 @@ def _in_rounds(n: int, made: Callable[[int], DataFrame]) -> DataFrame:
     """What made(0), made(1) ... give, each written before the next begins."""
     parts = []
     for r in range(n):
-        parts.append(stored(made(r)))
-        free_shuffles(parts[-1].sparkSession)
+        found = made(r)
+        writers = -(-int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")) // WRITERS)
+        parts.append(stored(found.repartition(writers, "u", "v")))
+        free_shuffles(found.sparkSession)
     return reduce(DataFrame.unionByName, parts)
 
 

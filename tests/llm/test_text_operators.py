@@ -577,7 +577,7 @@ def test_large_exchanges_of_near_copies_go_in_rounds(spark, frame, monkeypatch):
     """Keys and whole sets are sent in several rounds of bounded size, and no link is lost between them."""
     from lodestream.llm import nearcopies
 
-    monkeypatch.setattr(nearcopies, "LEAST_ROUND", 80_000)
+    monkeypatch.setattr(nearcopies, "LEAST_ROUND", 40_000)
     monkeypatch.setattr(nearcopies, "GROUP_SETS", 4)
     many, plain = [], nearcopies.rounds
     monkeypatch.setattr(nearcopies, "rounds", lambda sent, shingles: many.append(plain(sent, 0)) or many[-1])
