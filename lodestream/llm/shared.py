@@ -50,8 +50,11 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Files of shuffles whose plans nobody holds any more go now, not when the driver next happens to collect its garbage."""
+    """Files of shuffles whose plans nobody holds any more go now, not when the driver next happens to collect its garbage. The listeners' last event holds the plan that it tells of, so another query's comes after it."""
     gc.collect()
+    spark.range(1).collect()
+    with contextlib.suppress(Exception):  # slow listeners are not waited for
+        spark._jsc.sc().listenerBus().waitUntilEmpty(5000)
     spark._jvm.System.gc()
 
 
