@@ -6,7 +6,9 @@
    these are the keys of a join. Shingles that a sample of the texts has often come last in the order; whatever the sample is, no pair is lost. Large sets share one of so many shingles with too many
    others, and no few bits tell them apart. They are compared in classes of size, each with the next, and dealt by their hashes into more parts than similar sets of a class can differ in: as some
    parts are then equal throughout, the parts that aren't empty are the keys.
-   Two rows of a bucket are candidates unless the sizes, the places of the key or the parities of 256 parts of the sets, which can't differ in more places than the sets do, rule it out.
+   Two rows of a bucket are candidates unless the sizes, the places of the key or the parities of 256 parts of the sets, which can't differ in more places than the sets do, rule it out. Sets of over
+   SKETCHED shingles are too large for these parities to tell apart; one bit of each of 256 min-hashes does, of which similar sets share nine tenths and others about half. Without it chance keys join
+   ever more unlike sets as the table grows, and in the end most of them are one group. A similar pair passes but for a chance under 1e-14, less than that of two equal hashes in a large table.
    A bucket returns no pairs but a spanning forest of its candidates, which joins the same classes; one of over BUCKET_ROWS rows is cut into blocks, every two of which meet in a task.
 3. What candidates join is a group. The whole sets of a group meet, once each, in one task. Those of a large group meet in classes of size, each with the next, as similar sets have similar sizes; and block by
    block where a class is large itself. Every two that no earlier link joins are compared, first by parities of as many parts as the sets are large, then exactly; again a spanning forest is
@@ -43,6 +45,8 @@ SIZED = 16
 LARGE = 1000
 #: Parts of a set whose parities are compared.
 PARTS = 256
+#: Sets of more shingles have a sketch of so many bits, in which candidates differ in at most SKETCH_DIFFER; each bit of two sets at four fifths differs with a chance of a tenth.
+SKETCHED, SKETCH_BITS, SKETCH_DIFFER = 400, 256, 72
 #: Sets, and shingles in them, that one task compares with each other, and rows with sets in an Arrow batch.
 GROUP_SETS, GROUP_SHINGLES, SET_ROWS = 4096, 1 << 22, 100
 #: Similar sets differ in size by a factor of at most 1.25, so by one class at most.
@@ -51,6 +55,8 @@ SIZE_STEP = 1.26
 MAP_BYTES = 32 << 20
 #: Bytes that a round of an exchange sends for each shingle of all sets, about, and the least that a round is made for; bytes of a key's row in a shuffle; one in so many partitions writes what a round found, as that is little.
 ROUND_BYTES, LEAST_ROUND, KEY_BYTES, WRITERS = 3, 64 << 20, 24, 16
+#: Odd factors of the min-hashes.
+_FACTORS = _mix(np.arange(1, SKETCH_BITS + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -101,6 +107,21 @@ def parities(hashes: np.ndarray, parts: int = PARTS) -> bytes:
     return np.packbits((np.bincount((hashes & np.uint64(parts - 1)).astype(np.int64), minlength=parts) & 1).astype(np.uint8)).tobytes()
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """One bit of each of SKETCH_BITS min-hashes."""
+    least = np.full(SKETCH_BITS, 0xFFFFFFFF, np.uint32)
+    short = (hashes >> np.uint64(32)).astype(np.uint32)
+    for i in range(0, len(short), 256):
+        np.minimum(least, (short[i : i + 256, None] * _FACTORS).min(axis=0), out=least)
+    return np.packbits(((least >> np.uint32(4)) & np.uint32(1)).astype(np.uint8)).tobytes()
+
+
+def map_of(hashes: np.ndarray) -> bytes:
+    """The parities of a set that may be similar to one of at most SKETCHED shingles, then the sketch of a larger one; zeros for what a set hasn't."""
+    small = parities(hashes) if 4 * len(hashes) <= 5 * SKETCHED else bytes(PARTS // 8)
+    return small + (sketch(hashes) if len(hashes) > SKETCHED else bytes(SKETCH_BITS // 8))
+
+
 def spanning(sides: np.ndarray, linked: Callable[[int, np.ndarray], np.ndarray]) -> tuple[list[int], list[int]]:
     """A spanning forest of the rows: linked(i, js) tells which of js row i is linked with. Rows of two sides link across only. A row is compared with those alone that nothing has joined yet."""
     cut = len(sides) > 0 and sides[0] != sides[-1]
@@ -182,7 +203,10 @@ def _pairs(run: np.ndarray, sides: np.ndarray, n: np.ndarray, place: np.ndarray,
         a, b = n[i], n[j]
         rest = np.minimum(a - place[i], b - place[j])  # if the key is the first shingle they share, they share no more than these
         hit = np.flatnonzero((4 * np.maximum(a, b) <= 5 * np.minimum(a, b)) & (9 * rest >= 4 * (a + b)))
-        return hit[9 * np.bitwise_count(maps[i[hit]] ^ maps[j[hit]]).sum(axis=1, dtype=np.int64) <= (a + b)[hit]]
+        differ = np.bitwise_count(maps[i[hit]] ^ maps[j[hit]])
+        most = PARTS // 64
+        sketched = np.minimum(a, b)[hit] > SKETCHED
+        return hit[np.where(sketched, differ[:, most:].sum(axis=1, dtype=np.int64) <= SKETCH_DIFFER, 9 * differ[:, :most].sum(axis=1, dtype=np.int64) <= (a + b)[hit])]
 
     edge = np.flatnonzero(np.diff(run, prepend=-1))
     size = np.diff(np.append(edge, len(run)))
@@ -233,7 +257,7 @@ def candidates(classes: DataFrame, shingles: int) -> DataFrame:
     large = large.drop("count")
     n_rounds = rounds(KEY_BYTES * ((classes.agg(F.sum(F.size("prefix") + F.size("parts"))).first()[0] or 0) + (again or 0)), shingles)
     rows = classes.select(F.posexplode("prefix").alias("place", "key"), "set", "n", "map")
-    rows = rows.unionByName(classes.select(F.lit(0).alias("place"), F.explode("parts").alias("key"), "set", "n", F.lit(bytes(PARTS // 8)).alias("map")))  # a map rules no large sets out
+    rows = rows.unionByName(classes.select(F.lit(0).alias("place"), F.explode("parts").alias("key"), "set", "n", "map"))
     mine = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
     names = ["key", "side", "i", "j", "set", "n", "place", "map"]
     blocks = F.coalesce("blocks", F.lit(1))
@@ -363,7 +387,7 @@ def kept(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text")).filter("doc_id IS NOT NULL")
     frequent, counts = _frequent(rows)
     name = lambda s: np.uint64(xxhash.xxh64_intdigest(s.tobytes(), SEED)).astype(np.int64)
-    made = lambda s: (name(s), len(s), int(np.uint64(fingerprint_of(s)).astype(np.int64)), *[k.view(np.int64).tolist() for k in keys_of(s, frequent, counts)], parities(s))
+    made = lambda s: (name(s), len(s), int(np.uint64(fingerprint_of(s)).astype(np.int64)), *[k.view(np.int64).tolist() for k in keys_of(s, frequent, counts)], map_of(s))
     prints = _texts(rows, made, "set long, n int, fp long, prefix array<long>, parts array<long>, map binary", "doc_id long, hash long")
     first = F.min(F.struct("doc_id", "hash")).alias("row")
     keyed = stored(prints.groupBy("set").agg(first, *[F.first(c).alias(c) for c in ("n", "fp", "prefix", "parts", "map")]))

@@ -573,6 +573,37 @@ def test_near_copies_equal_brute_force(spark, frame, corpus, monkeypatch, group_
     assert out == [i for i in range(len(texts)) if root(i) == i]
 
 
+def test_unlike_texts_with_a_common_passage_are_no_group(spark, frame, monkeypatch):
+    """Long texts, each with a passage of the next: only near copies meet in the exact check, not all texts in one group that grows with the table."""
+    from lodestream.llm import nearcopies
+
+    met, plain = [], nearcopies.verified
+    monkeypatch.setattr(nearcopies, "verified", lambda texts, shingles: met.extend(r["doc_id"] for r in texts.select("doc_id").collect()) or plain(texts, shingles))
+    rng = random.Random(31)
+    texts = []
+    for size, common in ((600, 60), (1500, 450)):
+        passages = [prose(rng, common) for _ in range(16)]
+        texts += [passages[i] + " " + prose(rng, size - 2 * common) + " " + passages[i + 1] for i in range(15)]
+    texts += [t + " and this end" for t in texts[::10]]
+    out = simhash.without_copies(frame(texts))
+    assert sorted(r["doc_id"] for r in out.collect()) == list(range(30))
+    assert sorted(met) == [0, 10, 20, 30, 31, 32]
+
+
+def test_similar_sets_have_similar_sketches():
+    """Sets at a similarity of 0.8, from the size where sketches begin, and sets of nothing in common."""
+    from lodestream.llm import nearcopies
+
+    rng = np.random.default_rng(4)
+    for n in [401, 500, 501, 3000] * 25:
+        shingles = rng.integers(0, 1 << 63, 2 * n, np.uint64)
+        own = n - n // 9
+        a, b, c = (np.unique(s) for s in (shingles[:n], np.concatenate([shingles[:own], shingles[n : 2 * n - own]]), shingles[n:]))
+        maps = [np.frombuffer(nearcopies.map_of(x), np.uint8)[nearcopies.PARTS // 8 :] for x in (a, b, c)]
+        differ = [int(np.bitwise_count(maps[0] ^ m).sum()) for m in maps[1:]]
+        assert differ[0] <= nearcopies.SKETCH_DIFFER < differ[1]
+
+
 def test_large_exchanges_of_near_copies_go_in_rounds(spark, frame, monkeypatch):
     """Keys and whole sets are sent in several rounds of bounded size, and no link is lost between them."""
     from lodestream.llm import nearcopies
