@@ -243,7 +243,7 @@ def pruned(spark, sf_dir):
     SELECT event_id FROM f WHERE total - b > 800""")
 def evictions(spark, sf_dir):
     e = events(spark, sf_dir)
-    return state.evicted(e, "user_id", "ms", "value", 1000, 800, e.filter("event_type = 'purchase'"), "event_id").select("event_id")
+    return state.evicted(e, "user_id", "ms", "value", 1000, 800, e.filter("event_type = 'purchase' OR event_type IS NULL"), "event_id").select("event_id")
 
 
 @R.add("STM20", f"""SELECT event_id, CASE WHEN event_id % 17 = 0 THEN 'unmanaged' WHEN event_id % 13 = 0 THEN 'not-running' WHEN event_type = 'purchase' AND event_id % 2 = 0 AND 1705276800000 - {_MS} < 1500000 THEN 'busy' WHEN event_type = 'purchase' AND event_id % 2 = 0 THEN 'stuck'

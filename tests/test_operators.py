@@ -220,6 +220,17 @@ def test_eviction_ends_exactly_at_the_target(spark):
     assert set(used.columns) == set(rows.columns) and sorted(r["id"] for r in used.collect()) == [0, 2, 3, 10, 11, 12]
 
 
+def test_evictions_of_unknown_types_equal_sql(spark, tmp_path):
+    """An event without a type may be referenced, so it stays, as in the SQL."""
+    from lodestream.plans.state import ORACLES, QUERIES
+    from tests.oracle import connect, differences
+
+    kinds = ["view", None, "purchase", "click", None, "view"]
+    rows = spark.createDataFrame([(i, 7, kind, 400.0) for i, kind in enumerate(kinds)], "event_id long, user_id long, event_type string, value double")
+    rows.withColumn("ts", F.timestamp_millis(F.col("event_id") + 1_704_067_200_000)).write.parquet(f"{tmp_path}/events.parquet")
+    assert differences(QUERIES["STM19"](spark, str(tmp_path)), ORACLES["STM19"], connect(str(tmp_path))) == ""
+
+
 def test_policies_and_freshness(spark):
     assert state.reset_policy("direct", idle_minutes=5) == state.ResetPolicy("idle", 4, 5) and state.reset_policy("direct") == state.ResetPolicy("daily", 4, None)
     assert state.reset_policy("group", {"direct": {"mode": "idle"}}) == state.ResetPolicy("daily", 4, None) and state.reset_policy("direct", {"direct": {"mode": "idle"}}) == state.ResetPolicy("idle", 4, 60)
